@@ -7,7 +7,7 @@ together and then all judged in one pass over the table.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,29 +46,42 @@ def _accuracies(df: DataFrame, trials: Sequence[L.Classifier], folds: Sequence[i
     return out
 
 
+@dataclass(frozen=True)
+class Grid:
+    name: str
+    kind: str
+    points: tuple[dict, ...]
+
+
 def grid_search(
-    df: DataFrame, name: str, kind: str, grid: Sequence[dict], n_classes: int, n_terms: int,
-    k: int, max_iter: int = 100, only: tuple = (),
-) -> L.Classifier:
-    """Best grid point by mean fold accuracy; the first wins a tie.
+    df: DataFrame, grids: Sequence[Grid], n_classes: int, n_terms: int, k: int,
+    max_iter: int = 100, only: tuple = (),
+) -> dict[str, L.Classifier]:
+    """Best point of each grid by mean fold accuracy; the first wins a tie.
 
-    All points on all folds, and all points on all rows, are fitted together, so
-    the winner needs no further pass.
+    All points of all grids, on all folds and on all rows, are fitted together,
+    so several searches cost the passes of the slowest and the winners need none.
     """
-    trials, folds = [], []
-    for point in grid:
-        for f in range(k):
-            trials.append(L.Trial(kind, point, (*only, ("fold", "!=", f))))
-            folds.append(f)
-    trials += [L.Trial(kind, point, only) for point in grid]
-    heads = L.fit_trials(df, trials, n_classes, n_terms, max_iter)
-    judged = [L.Classifier(name, (h,)) for h in heads[: len(folds)]]
-    scores = _accuracies(df, judged, folds).reshape(len(grid), k)
-    best = int(np.argmax(scores.mean(axis=1)))
-    return L.Classifier(
-        name, (heads[len(folds) + best],), dict(grid[best]),
-        float(scores[best].mean()), float(scores[best].std()),
-    )
+    trials, folds, whole = [], [], []
+    for grid in grids:
+        for point in grid.points:
+            for f in range(k):
+                trials.append(L.Trial(grid.kind, point, (*only, ("fold", "!=", f))))
+                folds.append(f)
+            whole.append(L.Trial(grid.kind, point, only))
+    heads = L.fit_trials(df, trials + whole, n_classes, n_terms, max_iter)
+    judged = [L.Classifier("trial", (h,)) for h in heads[: len(folds)]]
+    scores = _accuracies(df, judged, folds).reshape(len(whole), k)
+    out, at = {}, 0
+    for grid in grids:
+        own = scores[at : at + len(grid.points)]
+        best = int(np.argmax(own.mean(axis=1)))
+        out[grid.name] = L.Classifier(
+            grid.name, (heads[len(folds) + at + best],), dict(grid.points[best]),
+            float(own[best].mean()), float(own[best].std()),
+        )
+        at += len(grid.points)
+    return out
 
 
 def bayes_search(
@@ -103,13 +116,16 @@ def tune_hyperparameters(
 ) -> dict[str, L.Classifier]:
     """SVM and logistic regression over C, naive Bayes at its one alpha."""
     k = config.cv_folds
-    svm = [{"c": c} for c in config.svm_c_values]
-    lr = [{"c": c} for c in config.lr_c_values]
-    return {
-        "SVM": grid_search(df, "SVM", "svm", svm, n_classes, n_terms, k, config.svm_max_iter),
-        "LR": grid_search(df, "LR", "logistic", lr, n_classes, n_terms, k, config.lr_max_iter),
-        "NB": bayes_search(df, "NB", [config.nb_alpha], n_classes, n_terms, k),
-    }
+    out = grid_search(
+        df,
+        [
+            Grid("SVM", "svm", tuple({"c": c} for c in config.svm_c_values)),
+            Grid("LR", "logistic", tuple({"c": c} for c in config.lr_c_values)),
+        ],
+        n_classes, n_terms, k, max(config.svm_max_iter, config.lr_max_iter),
+    )
+    out["NB"] = bayes_search(df, "NB", [config.nb_alpha], n_classes, n_terms, k)
+    return out
 
 
 def tune_all_classifiers(
@@ -118,29 +134,29 @@ def tune_all_classifiers(
 ) -> dict[str, L.Classifier]:
     """Five classifiers, each at its best grid point."""
     k = config.fast_cv_folds if fast_mode else config.cv_folds
-    svm = [{"c": c} for c in grids.svm_c]
-    lr = [{"c": c} for c in grids.lr_c]
-    sgd = [{"alpha": a, "loss": loss} for a in grids.sgd_alpha for loss in grids.sgd_loss]
+    sgd = tuple({"alpha": a, "loss": loss} for a in grids.sgd_alpha for loss in grids.sgd_loss)
+    linear = grid_search(
+        df,
+        [
+            Grid("LinearSVC", "svm", tuple({"c": c} for c in grids.svm_c)),
+            Grid("LogisticRegression", "logistic", tuple({"c": c} for c in grids.lr_c)),
+            Grid("SGDClassifier", "sgd", sgd),
+        ],
+        n_classes, n_terms, k, max(grids.svm_max_iter, grids.lr_max_iter, grids.sgd_max_iter),
+    )
     sums = L.collect_sums(df, n_classes, n_terms, "fold")
-    out = {
-        "LinearSVC": grid_search(
-            df, "LinearSVC", "svm", svm, n_classes, n_terms, k, grids.svm_max_iter
-        ),
-        "LogisticRegression": grid_search(
-            df, "LogisticRegression", "logistic", lr, n_classes, n_terms, k, grids.lr_max_iter
-        ),
-        "MultinomialNB": bayes_search(
-            df, "MultinomialNB", grids.nb_alpha, n_classes, n_terms, k, sums=sums
-        ),
-        "SGDClassifier": grid_search(
-            df, "SGDClassifier", "sgd", sgd, n_classes, n_terms, k, grids.sgd_max_iter
-        ),
-    }
-    out["OneVsRest_NB"] = bayes_search(
-        df, "OneVsRest_NB", [out["MultinomialNB"].params["alpha"]], n_classes, n_terms, k,
+    bayes = bayes_search(df, "MultinomialNB", grids.nb_alpha, n_classes, n_terms, k, sums=sums)
+    rest = bayes_search(
+        df, "OneVsRest_NB", [bayes.params["alpha"]], n_classes, n_terms, k,
         make=L.one_vs_rest_bayes_head, sums=sums,
     )
-    return out
+    return {
+        "LinearSVC": linear["LinearSVC"],
+        "LogisticRegression": linear["LogisticRegression"],
+        "MultinomialNB": bayes,
+        "SGDClassifier": linear["SGDClassifier"],
+        "OneVsRest_NB": rest,
+    }
 
 
 def ranking(spark: SparkSession, tuned: dict[str, L.Classifier], top_n: int | None = None) -> DataFrame:
