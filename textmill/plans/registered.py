@@ -1204,10 +1204,9 @@ def soft_vote(spark, d):
 
 @register("top_five", f"with {_VOTE_CTE} select doc_id, rk::int as rank, category, round(prob, 9) as probability from ranked where rk <= 5")
 def top_five(spark, d):
-    p = F.transform(F.col("p"), lambda x: F.round(x, 12))
     return (
         _voted(spark, d)
-        .select("doc_id", F.posexplode(scoring.top_classes(p, _CLASSES)))
+        .select("doc_id", F.posexplode(scoring.top_classes(F.col("p"), _CLASSES)))
         .select("doc_id", (F.col("pos") + 1).alias("rank"), "col.category",
                 F.round("col.probability", 9).alias("probability"))
     )
@@ -1222,8 +1221,7 @@ def top_five(spark, d):
     conf < 0.4 as requires_review, case when conf < 0.4 then array_to_string(tops, ',') end as top_suggestions
   from tops join c using (doc_id)""")
 def detailed_prediction(spark, d):
-    p = F.transform(F.col("p"), lambda x: F.round(x, 12))
-    out = scoring.with_prediction(_voted(spark, d), p, _CLASSES)
+    out = scoring.with_prediction(_voted(spark, d), F.col("p"), _CLASSES)
     return out.select(
         "doc_id", F.round("confidence", 9).alias("confidence"), "specific_category",
         F.array_join("hierarchy_path", "/").alias("path"), "tier", "predicted_category",
