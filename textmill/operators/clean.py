@@ -27,6 +27,16 @@ def drop_short(df: DataFrame, text_col: str, min_length: int = 100) -> DataFrame
     return df.filter(F.length(strip(text_col)) >= min_length)
 
 
+def add_normalized_label(df: DataFrame, label_col: str, to: str) -> DataFrame:
+    """Adds the canonical label.  Each distinct label is normalised once; the
+    table of labels is joined without a hint, so that it is broadcast when the
+    planner has measured it as small."""
+    table = df.select(F.col(label_col).alias("_raw")).distinct()
+    table = table.withColumn("_canonical", normalize_label("_raw"))
+    joined = df.join(table, F.col(label_col).eqNullSafe(F.col("_raw")))
+    return joined.withColumn(to, F.col("_canonical")).drop("_raw", "_canonical")
+
+
 def clean_frame(
     df: DataFrame,
     text_col: str,
@@ -88,7 +98,7 @@ def clean_texts(
     """Short rows out, canonical labels, first row per normalised text."""
     out = drop_short(df, text_col, min_length) if remove_short else df
     if normalize_labels:
-        out = out.withColumn(label_col, normalize_label(label_col))
+        out = add_normalized_label(out, label_col, label_col)
     if remove_duplicates:
         out = drop_normalized_duplicates(out, text_col, order).drop("text_hash")
     return out
@@ -126,7 +136,7 @@ def clean_corpus(
     suggested = (
         detect_mislabel(text_col, label_col) if remove_mislabeled else F.lit(None).cast("string")
     )
-    judged = df.withColumn("normalized_label", normalize_label(label_col)).withColumn(
+    judged = add_normalized_label(df, label_col, "normalized_label").withColumn(
         "_suggested", suggested
     )
     credible = judged.filter(F.col("_suggested").isNull())

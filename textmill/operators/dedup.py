@@ -48,12 +48,19 @@ def count_duplicates(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash).  A null text counts as empty: the key is never null, so
+    the planner adds no null check that would hash every text a second time."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(F.col(id_col).alias("id"), text_hash(text).alias("text_hash"))
+
+
 def duplicate_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(text_hash, first_id, n, n_pairs) for every text that occurs repeatedly."""
     return (
-        df.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("text_hash"))
+        _keyed(df, id_col, text_col)
         .groupBy("text_hash")
-        .agg(F.min("_id").alias("first_id"), F.count("*").alias("n"))
+        .agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1")
         .withColumn("n_pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
     )
@@ -67,7 +74,7 @@ def duplicate_links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     any two rows with the same ``left_id`` (and that row itself) are a pair, and
     ``duplicate_groups`` counts the pairs in closed form.
     """
-    keyed = df.select(F.col(id_col).alias("right_id"), text_hash(text_col).alias("text_hash"))
+    keyed = _keyed(df, id_col, text_col).withColumnRenamed("id", "right_id")
     groups = (
         keyed.groupBy("text_hash")
         .agg(F.min("right_id").alias("left_id"), F.count("*").alias("n"))

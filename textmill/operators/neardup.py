@@ -39,7 +39,8 @@ def gram_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Normalised text holds no control whitespace, so \\x1f separates safely.
     """
-    sorted_grams = F.sort_array(text_shingles(text_col))
+    # Never null, so that joins on the key do not compute it again to check.
+    sorted_grams = F.sort_array(text_shingles(F.coalesce(F.col(text_col), F.lit(""))))
     return (
         df.select(F.col(id_col).alias("id"), sorted_grams.alias("grams"))
         .withColumn("set_key", F.md5(F.array_join("grams", "\x1f")))

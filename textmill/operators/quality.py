@@ -171,7 +171,7 @@ def label_conflicts(df: DataFrame, id_col: str, text_col: str, label_col: str) -
 def conflict_members(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text_hash, id, label) of every row whose text carries several labels."""
     rows = df.select(
-        text_hash(text_col).alias("text_hash"),
+        text_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
         F.col(id_col).alias("id"),
         F.col(label_col).alias("label"),
     )

@@ -388,9 +388,8 @@ _RAW_SQL = f"""
   from ({_RAW_SQL}) r join t on r.raw is not distinct from t.raw group by t.raw, t.label""")
 def normalize_labels(spark, d):
     return (
-        raw_labels(spark, d)
-        .select(F.coalesce("raw", F.lit("<null>")).alias("raw"), lab.normalize_label("raw").alias("label"))
-        .groupBy("raw", "label")
+        clean.add_normalized_label(raw_labels(spark, d), "raw", "label")
+        .groupBy(F.coalesce("raw", F.lit("<null>")).alias("raw"), "label")
         .agg(F.count("*").alias("n"))
     )
 
