@@ -41,8 +41,10 @@ def with_folds(df: DataFrame, id_col: str, k: int, seed: int = 42, calibration:
 
 def _accuracies(df: DataFrame, trials: Sequence[L.Classifier], folds: Sequence[int]) -> np.ndarray:
     out = np.zeros(len(trials))
-    for r in L.trial_accuracy(df, trials, folds).collect():  # one row per trial
-        out[r["trial"]] = r["accuracy"]
+    for part in L.in_batches(trials):
+        own, on = [trials[i] for i in part], [folds[i] for i in part]
+        for r in L.trial_accuracy(df, own, on).collect():  # one row per trial
+            out[part[r["trial"]]] = r["accuracy"]
     return out
 
 
@@ -291,30 +293,50 @@ def bayes_learning_curve(
     return curve_table(df, trials, jobs)
 
 
-def curve_table(df: DataFrame, trials: Sequence[L.Classifier], jobs: Sequence[tuple[int, int]]) -> DataFrame:
-    """(step, train_rows, train_mean, train_std, valid_mean, valid_std, overfit)."""
-    scored = L.guesses(df, trials)
-    table = F.array(
-        *[F.struct(F.lit(s).alias("s"), F.lit(f).alias("f")) for s, f in jobs]
-    )
-    rows = scored.select(
-        "fold", "step", "label_idx", F.posexplode(F.arrays_zip(F.col("guess"), table.alias("job")))
-    ).select(
-        F.col("col.job.s").alias("at_step"),
-        F.col("col.job.f").alias("at_fold"),
-        (F.col("col.guess") == F.col("label_idx")).cast("double").alias("hit"),
-        (F.col("fold") == F.col("col.job.f")).alias("valid"),
-        ((F.col("fold") != F.col("col.job.f")) & (F.col("step") <= F.col("col.job.s"))).alias("train"),
+def _curve_scores(
+    df: DataFrame, trials: Sequence[L.Classifier], jobs: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """(at_step, at_fold, train_rows, train_acc, valid_acc) in one pass."""
+    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(f).alias("f")) for s, f in jobs])
+    rows = (
+        L.guesses(df, trials)
+        .select(
+            "fold", "step", "label_idx",
+            F.posexplode(F.arrays_zip(F.col("guess"), table.alias("job"))),
+        )
+        .select(
+            F.col("col.job.s").alias("at_step"),
+            F.col("col.job.f").alias("at_fold"),
+            (F.col("col.guess") == F.col("label_idx")).cast("double").alias("hit"),
+            (F.col("fold") == F.col("col.job.f")).alias("valid"),
+            (F.col("step") <= F.col("col.job.s")).alias("reached"),
+        )
     )
-    per_fold = rows.groupBy("at_step", "at_fold").agg(
-        F.sum(F.col("train").cast("long")).alias("train_rows"),
-        F.avg(F.when(F.col("train"), F.col("hit"))).alias("train_acc"),
+    train = ~F.col("valid") & F.col("reached")
+    return rows.groupBy("at_step", "at_fold").agg(
+        F.sum(train.cast("long")).alias("train_rows"),
+        F.avg(F.when(train, F.col("hit"))).alias("train_acc"),
         F.avg(F.when(F.col("valid"), F.col("hit"))).alias("valid_acc"),
     )
-    return per_fold.groupBy(F.col("at_step").alias("step")).agg(
-        F.avg("train_rows").alias("train_rows"),
-        F.avg("train_acc").alias("train_mean"),
-        F.stddev_pop("train_acc").alias("train_std"),
-        F.avg("valid_acc").alias("valid_mean"),
-        F.stddev_pop("valid_acc").alias("valid_std"),
-    ).withColumn("overfit", F.col("train_mean") - F.col("valid_mean") > 0.1)
+
+
+def curve_table(
+    df: DataFrame, trials: Sequence[L.Classifier], jobs: Sequence[tuple[int, int]],
+    gap: float = ModelConfig().overfit_gap,
+) -> DataFrame:
+    """(step, train_rows, train_mean, train_std, valid_mean, valid_std, overfit)."""
+    per_fold = None
+    for part in L.in_batches(trials):
+        scores = _curve_scores(df, [trials[i] for i in part], [jobs[i] for i in part])
+        per_fold = scores if per_fold is None else per_fold.unionByName(scores)
+    return (
+        per_fold.groupBy(F.col("at_step").alias("step"))
+        .agg(
+            F.avg("train_rows").alias("train_rows"),
+            F.avg("train_acc").alias("train_mean"),
+            F.stddev_pop("train_acc").alias("train_std"),
+            F.avg("valid_acc").alias("valid_mean"),
+            F.stddev_pop("valid_acc").alias("valid_std"),
+        )
+        .withColumn("overfit", F.col("train_mean") - F.col("valid_mean") > gap)
+    )

@@ -31,10 +31,13 @@ def local_session(cpus: int | str = "*", app: str = "textmill") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    A session without one (tests, a single machine) gets a temporary folder.
+    Only a local session without one (tests, a single machine) gets a temporary
+    folder; on a cluster that would be invisible to the other machines.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         path = tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
