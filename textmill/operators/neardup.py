@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import jaccard, text_shingles
+from textmill.session import materialize
 
 _SLACK = 2  # s above
 _EMPTY = -1  # pseudo part shared by sets that leave more than s parts empty
@@ -190,10 +191,13 @@ def near_duplicates(
     between the first rows of the two sets.  Further rows of a set are linked to
     its first row with similarity 1, so the result grows with the rows and the
     near pairs, not with the square of the copies.
+
+    The gram sets are written to the shared folder when this is called: five
+    branches of the plan read them, and none of them cuts the texts again.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sets = gram_sets(df, id_col, text_col)
+    sets = materialize(gram_sets(df, id_col, text_col), "grams")
     distinct = distinct_sets(sets)
     pairs = candidate_pairs(signatures(distinct, threshold), threshold)
     outline = sketches(distinct)

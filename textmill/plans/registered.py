@@ -990,12 +990,12 @@ def prepared(spark, d) -> tuple[feat.TextFeatureModel, DataFrame]:
     directory.  Folds and steps of the searches are in the table."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PREPARED:
-        rows = _processed(spark, d)
-        model = feature_extractor(_CONFIG).fit(rows)
-        table = tuning.with_folds(
-            model.transform(rows).drop("text"), "doc_id", _CONFIG.fast_cv_folds, _CONFIG.seed
+        folds = tuning.with_folds(
+            _processed(spark, d), "doc_id", _CONFIG.fast_cv_folds, _CONFIG.seed, label_col="label"
         )
-        _PREPARED[key] = (model, materialize(table, "features"))
+        rows = spread(materialize(folds, "processed"), "doc_id")
+        model = feature_extractor(_CONFIG).fit(rows)
+        _PREPARED[key] = (model, materialize(model.transform(rows).drop("text"), "features"))
     return _PREPARED[key]
 
 

@@ -21,6 +21,7 @@ from textmill.operators.evaluate import (
 from textmill.operators.split import train_test_split
 from textmill.operators.stats import label_counts
 from textmill.session import materialize
+from textmill.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -71,23 +72,26 @@ def train(
     cleaned = corpus.filter(F.col("label").isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), preprocess("text").alias("text"), "label"
     )
-    split = materialize(train_test_split(cleaned, "id", "label", config.test_size, config.seed), "split")
+    split = spread(
+        materialize(train_test_split(cleaned, "id", "label", config.test_size, config.seed), "split"),
+        "id",
+    )
     training = split.filter(~F.col("is_test")).drop("is_test")
     testing = split.filter("is_test").drop("is_test")
     if config.use_augmentation:
         training = augment_dataset(
             training, "id", "text", config.augmentation_factor, config.augmentation_methods, config.seed
         ).withColumn("id", F.concat_ws("#", "id", "copy_no")).drop("copy_no")
-        training = materialize(training, "augmented")
+    folds = config.fast_cv_folds if config.use_ensemble else config.cv_folds
+    training = U.with_folds(
+        training, "id", folds, config.seed, grids.calibration_folds, config.learning_curve_steps,
+        "label",
+    )
+    training = spread(materialize(training, "training"), "id")
 
     features = feature_extractor(config).fit(training)
     n_classes, n_terms = features.num_classes, features.vocabulary_size
-    folds = config.fast_cv_folds if config.use_ensemble else config.cv_folds
-    rows = U.with_folds(
-        features.transform(training).drop("text"), "id", folds, config.seed,
-        grids.calibration_folds, config.learning_curve_steps,
-    )
-    rows = materialize(rows, "features").persist()
+    rows = materialize(features.transform(training).drop("text"), "features").persist()
     try:
         if config.use_ensemble:
             tuned = U.tune_all_classifiers(rows, n_classes, n_terms, config, grids)
