@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.labels import detect_mislabel, normalize_label
+from textmill.functions.labels import detect_mislabel, is_leaf, normalize_label
 from textmill.functions.text import strip
 from textmill.operators.dedup import drop_exact_duplicates, drop_normalized_duplicates
 
@@ -170,16 +170,10 @@ def clean_corpus(
         kept=kept,
         audit=audit,
         stats=_cleaning_stats(judged, sized, kept, label_col),
-        unknown=_not_in_taxonomy(unknown),
+        unknown=unknown.filter(~is_leaf("label")),
     )
 
 
-def _not_in_taxonomy(labels: DataFrame) -> DataFrame:
-    from textmill.functions.labels import is_leaf
-
-    return labels.filter(~is_leaf("label"))
-
-
 def _cleaning_stats(
     judged: DataFrame, sized: DataFrame, kept: DataFrame, label_col: str
 ) -> DataFrame:

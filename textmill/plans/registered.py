@@ -16,7 +16,7 @@ from textmill.config import ModelConfig
 from textmill.fixed_values import KEYWORD_GROUPS, LABEL_MAP, UNKNOWN_LABEL
 from textmill.functions import labels as lab
 from textmill.functions import text as tx
-from textmill.functions.exprs import hash_hex, hash_int
+from textmill.functions.exprs import hash_int
 from textmill.models import features as feat
 from textmill.models import linear as lin
 from textmill.models import scoring
