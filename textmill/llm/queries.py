@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmill.llm import minhash
+from textmill.llm import decontaminate, kneser_ney, langid, lines, minhash, packing, quality, toxicity
 from textmill.llm.tables import read
+from textmill.llm.words import held_out, space_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +20,105 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_distribution_divergence(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return quality.judge(docs, quality.language_references(docs))
+
+
+@register
+def op3_crf_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    test = held_out(F.col("doc_id"), 3, 1)
+    tagger = langid.fit_languages(docs.filter(~test))
+    return langid.identify(docs.select("doc_id", "text"), tagger).select(
+        "row.doc_id", held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+@register
+def op5_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    model = kneser_ney.KneserNey.fit(docs.filter(~held_out(F.col("doc_id"), 10, 0)))
+    return model.score(docs).select(
+        "row.doc_id", held_out(F.col("row.doc_id"), 10, 0).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register
+def op6_winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_contamination(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@register
+def op7_cnn_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    labels = read(spark, d, "labels").select("doc_id", "toxic")
+    rows = docs.filter(~held_out(F.col("doc_id"), 3, 1)).join(labels, "doc_id")
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(rows)).select(
+        "row.doc_id", held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "score", "predicted", "language")
+
+
 @register
 def op8_minhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, d, "documents"))
+
+
+@register
+def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return packing.pack_documents(docs, packing.token_count(F.col("text")))
+
+
+@register
+def op10_reversible_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return lines.LineIndex.build(docs).apply(docs).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+SQL["op10_reversible_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM line),
+often AS (
+  SELECT key, max(doc_id) AS last_doc FROM (SELECT DISTINCT doc_id, key FROM keyed WHERE length(key) >= 40)
+  GROUP BY key HAVING count(*) >= 5),
+judged AS (
+  SELECT k.*, o.key IS NOT NULL AND k.doc_id < o.last_doc AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+SQL["op6_winnowing_decontamination"] = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(words), 13) AS n,
+         unnest(list_transform(range(1, greatest(len(words) - 12, 1) + 1), lambda i: array_to_string(words[i:i + least(len(words), 13) - 1], ' '))) AS w
+  FROM item WHERE len(words) > 0),
+kinds AS (SELECT DISTINCT n FROM win),
+span AS (
+  SELECT doc_id, n, unnest(range(1, len(words) - n + 2)) AS i,
+         unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS w
+  FROM doc, kinds WHERE len(words) >= n),
+met AS (SELECT s.doc_id, s.i, s.n, win.item_id FROM span s JOIN win ON s.w = win.w AND s.n = win.n),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
