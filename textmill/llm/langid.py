@@ -29,7 +29,7 @@ _RUN = 64
 
 
 def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
-    return (mix(x + np.uint64(kind) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(_BUCKETS - 1)).astype(np.int64)
+    return (mix(x + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(_BUCKETS - 1)).astype(np.int64)
 
 
 def word_features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,8 @@ apart go on with another centre; see :func:`near_links`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,53 @@ from textmill.llm.components import components
 from textmill.llm.tables import stored
 from textmill.llm.words import mix, signed, slices, word_hashes
 
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
-_EDGES = np.arange(1, BINS, dtype=np.uint64) << np.uint64(57)
-#: For each bin, the order in which it looks for a full one.
-_ORDER = np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(1)).reshape(BINS, BINS), axis=1)
-_SALT = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(977))
-#: Of 256 sketch bits, so many agree in nearly all pairs of similarity 0.75: the
-#: mean is 224 and the deviation 7.7, so one pair in 100,000 is missed.
-SKETCH_AGREE = 190
+@dataclass(frozen=True)
+class Banding:
+    """How signatures are cut: ``bins`` in bands of ``rows``; ``marks`` bits of a sketch for the members."""
+
+    bins: int = 128
+    rows: int = 4
+    marks: int = 2048
+
+    @property
+    def bands(self) -> int:
+        return self.bins // self.rows
+
+    @property
+    def signs(self) -> int:
+        """64-bit numbers for two bits of every bin."""
+        return -(-2 * self.bins // 64)
+
+    def recall(self, similarity: float) -> float:
+        """How likely two sets of this similarity share a bucket."""
+        return 1 - (1 - similarity**self.rows) ** self.bands
+
+    def agreement(self, threshold: int) -> int:
+        """Of the two bits of every bin, so many agree in all but one of some 10 million pairs of the
+        similarity: the mean less 5.4 deviations."""
+        s = threshold / 100
+        per_bin = 4 * s + 1.5 * (1 - s) - (1 + s) ** 2
+        return int(self.bins * (1 + s) - 5.4 * (self.bins * per_bin) ** 0.5)
+
+    @staticmethod
+    def tuned(threshold: int, recall: float, bins: int, marks: int) -> Banding:
+        """The longest bands, hence the fewest chance meetings, that reach the recall at
+        the threshold with at most so many bins."""
+        for rows in range(bins, 0, -1):
+            found = Banding(bins // rows * rows, rows, marks)
+            if found.recall(threshold / 100) >= recall:
+                return found
+        raise ValueError("too few bins for this recall")
+
+
+def _edges(bins: int) -> np.ndarray:
+    return np.array([k * 2**64 // bins for k in range(1, bins)], np.uint64)
+
+
+@cache
+def _order(bins: int) -> np.ndarray:
+    """For each bin, the order in which it looks for a full one."""
+    return np.argsort(mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(1)).reshape(bins, bins), axis=1)
 
 
 def shingles(h: np.ndarray, before: np.ndarray, width: int) -> list[np.ndarray]:
@@ -58,48 +98,50 @@ def shingles(h: np.ndarray, before: np.ndarray, width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(members: np.ndarray) -> np.ndarray:
+def signature(members: np.ndarray, bins: int) -> np.ndarray:
     """The smallest member of each bin, empty bins filled; members are sorted."""
-    cut = np.concatenate([[0], np.searchsorted(members, _EDGES), [len(members)]])
+    cut = np.concatenate([[0], np.searchsorted(members, _edges(bins)), [len(members)]])
     full = cut[:-1] < cut[1:]
     sig = members[np.minimum(cut[:-1], len(members) - 1)]
     if not full.all():
         empty = np.flatnonzero(~full)
-        order = _ORDER[empty]
+        order = _order(bins)[empty]
         sig[empty] = sig[order[np.arange(len(empty)), full[order].argmax(axis=1)]]
     return sig
 
 
-def band_keys(sigs: np.ndarray) -> np.ndarray:
+def band_keys(sigs: np.ndarray, banding: Banding) -> np.ndarray:
     """One key for every band of every signature (rows of ``sigs``)."""
-    rows = sigs.reshape(len(sigs), BANDS, ROWS)
-    key = np.broadcast_to(_SALT, rows.shape[:2])
-    for k in range(ROWS):
+    rows = sigs.reshape(len(sigs), banding.bands, banding.rows)
+    key = np.broadcast_to(mix(np.arange(banding.bands, dtype=np.uint64) + np.uint64(977)), rows.shape[:2])
+    for k in range(banding.rows):
         key = mix(key * np.uint64(7) ^ rows[:, :, k])
     return key
 
 
-def sketches(sigs: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Two bits of every bin, as 4 numbers of 64 bits, and the bits that the members set, as 32."""
+def sketches(sigs: np.ndarray, sets: list[np.ndarray], banding: Banding) -> np.ndarray:
+    """Two bits of every bin, and then the bits that the members set, as 64-bit numbers."""
+    bits = np.zeros((len(sets), 64 * banding.signs + banding.marks), np.uint8)
     two = np.stack([sigs & np.uint64(1), (sigs >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8)
-    marks = np.zeros((len(sets), 2048), np.uint8)
+    bits[:, :2 * banding.bins] = two.reshape(len(sets), -1)
     for i, members in enumerate(sets):
-        marks[i, (members >> np.uint64(20)) & np.uint64(2047)] = 1
-    return np.packbits(np.hstack([two.reshape(len(sets), -1), marks]), axis=1).view(np.int64)
+        bits[i, 64 * banding.signs + ((members >> np.uint64(20)) & np.uint64(banding.marks - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
-def may_link(threshold: int, n_x: np.ndarray, x: np.ndarray, n_y: np.ndarray, y: np.ndarray) -> np.ndarray:
+def may_link(threshold: int, banding: Banding, n_x: np.ndarray, x: np.ndarray, n_y: np.ndarray, y: np.ndarray) -> np.ndarray:
     """False where sizes or sketches rule a link out; arrays of rows, or one row against many.
 
     A bit that only one side has set is a member that the other lacks, which bounds
     the intersection from above without error; that is the stronger test for all but
     long texts.
     """
-    same = 256 - np.bitwise_count(x[..., :4] ^ y[..., :4]).sum(axis=-1, dtype=np.int64)
-    marks, others = x[..., 4:], y[..., 4:]
+    signs = banding.signs
+    same = 2 * banding.bins - np.bitwise_count(x[..., :signs] ^ y[..., :signs]).sum(axis=-1, dtype=np.int64)
+    marks, others = x[..., signs:], y[..., signs:]
     most = np.minimum(n_x - np.bitwise_count(marks & ~others).sum(axis=-1, dtype=np.int64),
                       n_y - np.bitwise_count(others & ~marks).sum(axis=-1, dtype=np.int64))
-    return ((100 * np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y)) & (same >= SKETCH_AGREE)
+    return ((100 * np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y)) & (same >= banding.agreement(threshold))
             & ((100 + threshold) * most >= threshold * (n_x + n_y)))
 
 
@@ -107,19 +149,19 @@ def _rows(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(lists), -1)
 
 
-def _likely(threshold: int):
+def _likely(threshold: int, banding: Banding):
     """Arrow task: the pairs (a, b, n_a, n_b, s_a, s_b) that may be links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b, n_a, n_b, s_a, s_b = batch.columns
-                hit = may_link(threshold, n_a.to_numpy(), _rows(s_a), n_b.to_numpy(), _rows(s_b))
+                hit = may_link(threshold, banding, n_a.to_numpy(), _rows(s_a), n_b.to_numpy(), _rows(s_b))
                 yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(hit))
 
     return run
 
 
-def _blocks(threshold: int):
+def _blocks(threshold: int, banding: Banding):
     """Arrow group: one block, or two blocks of one bucket, compared row by row."""
     def run(block: pa.Table) -> pa.Table:
         node, n, component, mine, x = (block[c].combine_chunks() for c in ("node", "n", "component", "block", "sketch"))
@@ -130,7 +172,7 @@ def _blocks(threshold: int):
         for k, i in enumerate(left):
             js = right if len(right) else left[k + 1:]
             js = js[component[js] != component[i]]
-            hit = js[may_link(threshold, n[i], x[i], n[js], x[js])]
+            hit = js[may_link(threshold, banding, n[i], x[i], n[js], x[js])]
             found.append(np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])]))
         a, b = np.hstack(found)
         return pa.table({"a": a, "b": b})
@@ -138,38 +180,50 @@ def _blocks(threshold: int):
     return run
 
 
-def _sets(width: int, signed_too: bool):
-    """Arrow task: node and text to node and set, with signature or with members."""
+def as_lists(x: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as an Arrow column of lists."""
+    x = np.ascontiguousarray(x)
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(signed(x).ravel()))
+
+
+SIGNED = "n long, digest binary, bands array<long>, sketch array<long>"
+
+
+def signed_columns(sets: list[np.ndarray], banding: Banding) -> list[pa.Array]:
+    """n, digest (null for an empty set), bands and sketch of each set."""
+    sigs = np.zeros((len(sets), banding.bins), np.uint64)
+    for i, members in enumerate(sets):
+        if len(members):
+            sigs[i] = signature(members, banding.bins)
+    return [pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+            as_lists(band_keys(sigs, banding)), as_lists(sketches(sigs, sets, banding))]
+
+
+def _signed(width: int, banding: Banding):
+    """Arrow task: (node, text) to the node and its set's size, digest, bands and sketch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = shingles(*word_hashes(b.column(1)), width)
+            yield pa.record_batch([b.column(0), *signed_columns(sets, banding)], ["node", "n", "digest", "bands", "sketch"])
+
+    return run
+
+
+def _members(width: int):
+    """Arrow task: (node, text) to the node and its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingles(*word_hashes(b.column(1)), width)
-            node = b.column(0)
-            if not signed_too:
-                yield pa.record_batch([node, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
-                continue
-            some = np.array([len(s) > 0 for s in sets])
-            sigs = np.zeros((len(sets), BINS), np.uint64)
-            for i in np.flatnonzero(some):
-                sigs[i] = signature(sets[i])
-
-            def lists(x: np.ndarray) -> pa.Array:
-                x = np.ascontiguousarray(x)
-                return pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(signed(x).ravel()))
-
-            yield pa.record_batch([
-                node, pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                lists(band_keys(sigs)), lists(sketches(sigs, sets)),
-            ], ["node", "n", "digest", "bands", "sketch"])
+            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
 
     return run
 
 
-def signed_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+def signed_sets(texts: DataFrame, width: int = 5, banding: Banding = Banding()) -> DataFrame:
     """(node, n, digest, bands, sketch) of (node, text)."""
-    return texts.select("node", "text").mapInArrow(
-        _sets(width, True), "node long, n long, digest binary, bands array<long>, sketch array<long>")
+    return texts.select("node", "text").mapInArrow(_signed(width, banding), f"node long, {SIGNED}")
 
 
 def _compare(threshold: int):
@@ -186,7 +240,7 @@ def _compare(threshold: int):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int, banding: Banding) -> DataFrame:
     """The pairs (a, b) of similarity ``threshold`` hundredths or more, by their full sets.
 
     Pairs that sizes or sketches rule out go first; then only the texts that a pair
@@ -197,17 +251,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, t
 
     likely = stored(
         pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-        .mapInArrow(_likely(threshold), "a long, b long"), "pairs")
+        .mapInArrow(_likely(threshold, banding), "a long, b long"), "pairs")
     named = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     sets = stored(texts.select("node", "text").join(named, "node", "left_semi").mapInArrow(
-        _sets(width, False), "node long, members binary"), "sets").dropDuplicates(["node"])
+        _members(width), "node long, members binary"), "sets").dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
     return likely.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(
         _compare(threshold), "a long, b long")
 
 
-def all_pairs(rest: DataFrame, threshold: int, small: int, block: int) -> DataFrame:
+def all_pairs(rest: DataFrame, threshold: int, banding: Banding, small: int, block: int) -> DataFrame:
     """The pairs (a, b) of one bucket and different components that may be links.
 
     Small buckets are a self-join.  Others are cut into blocks by hash; every two
@@ -225,23 +279,27 @@ def all_pairs(rest: DataFrame, threshold: int, small: int, block: int) -> DataFr
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block) - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
     return pairs.union(dealt.groupBy("key", "low", "high").applyInArrow(
-        _blocks(threshold), "a long, b long")).distinct()
+        _blocks(threshold, banding), "a long, b long")).distinct()
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, width: int = 5, threshold: int = 75, star_rounds: int = 2,
-               small: int = 32, block: int = 1024) -> DataFrame:
+def crowded_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, key) of the buckets that more than one node is in."""
+    wide = nodes.select("node", F.explode("bands").alias("key"))
+    crowded = wide.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return stored(wide.join(crowded.select("key"), "key").select("node", "key"), "buckets")
+
+
+def near_links(nodes: DataFrame, buckets: DataFrame, texts: DataFrame, width: int = 5, threshold: int = 75,
+               banding: Banding = Banding(), star_rounds: int = 2, small: int = 32, block: int = 1024) -> DataFrame:
     """(node, component) of the nodes that are linked with another one.
 
-    ``nodes`` are distinct sets as :func:`signed_sets` gives them, ``texts`` their
-    (node, text).  In each round every bucket that still holds several components
-    names a centre and all members of other components are compared with it.  After
-    ``star_rounds`` the pairs that no centre has decided, of one bucket and
-    different components, are compared all: a link of two texts that share a bucket
-    is never lost.
+    ``nodes`` are distinct sets as :func:`signed_sets` gives them, ``buckets`` those of
+    :func:`crowded_buckets`, ``texts`` their (node, text).  In each round every bucket
+    that still holds several components names a centre and all members of other
+    components are compared with it.  After ``star_rounds`` the pairs that no centre
+    has decided, of one bucket and different components, are compared all: a link of
+    two texts that share a bucket is never lost.
     """
-    wide = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "key")
-    crowded = wide.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    buckets = stored(wide.join(crowded.select("key"), "key"), "buckets")
     links, labels, done = None, None, None
     for r in range(star_rounds + 1):
         live = buckets
@@ -262,8 +320,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int = 5, threshold: in
             now = centre.select("key", F.col("centre").alias("node"))
             done = stored(now if done is None else done.union(now), "centres")
         else:
-            pairs = all_pairs(live.join(nodes.select("node", "n", "sketch"), "node"), threshold, small, block)
-        found = stored(verified(pairs, nodes, texts, width, threshold), "found")
+            pairs = all_pairs(live.join(nodes.select("node", "n", "sketch"), "node"), threshold, banding, small, block)
+        found = stored(verified(pairs, nodes, texts, width, threshold, banding), "found")
         if labels is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
@@ -271,7 +329,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int = 5, threshold: in
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    threshold: int = 75) -> DataFrame:
+                    threshold: int = 75, banding: Banding = Banding()) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
     A null or empty text has no shingle and is its own component.  Rows with the
@@ -280,13 +338,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     then).  A repeated row gives a repeated result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    every = stored(signed_sets(texts, width), "sets")
+    every = stored(signed_sets(texts, width, banding), "sets")
     classes = stored(
         every.filter("digest is not null").groupBy("digest").agg(
             F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch")), "classes")
     nodes = classes.filter("node is not null").dropDuplicates(["node"])
-    near = near_links(nodes, texts.filter("node is not null"), width, threshold)
+    near = near_links(nodes, crowded_buckets(nodes), texts.filter("node is not null"), width, threshold, banding)
     named = classes.select("digest", F.col("node").alias("first")).join(
         near.withColumnRenamed("node", "first"), "first", "left").select(
         "digest", F.coalesce("component", "first").alias("component"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontaminate, kneser_ney, langid, lines, minhash, packing, quality, toxicity
+from textmill.llm import decontaminate, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, toxicity, urls
 from textmill.llm.tables import read
 from textmill.llm.words import held_out, space_words
 
@@ -26,6 +26,11 @@ def op1_distribution_divergence(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(docs, quality.language_references(docs))
 
 
+@register
+def op2_repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(read(spark, d, "documents"))
+
+
 @register
 def op3_crf_language(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
@@ -35,6 +40,71 @@ def op3_crf_language(spark: SparkSession, d: str) -> DataFrame:
         "row.doc_id", held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 
+def _drawn(*parts: Column | str) -> Column:
+    """A number below 2**32 that the parts decide, as SQL can restate it."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+@register
+def op4_temporal_url_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Captures are the pages, fetched at a second of a year that their id decides.  The
+    list follows from their hosts: half of the hosts are added and removed three times,
+    and half of the parent domains are added once."""
+    year = 365 * 86400
+    pages = read(spark, d, "pages").select("page_id", "url").withColumn(
+        "fetched_at", F.pmod(_drawn("fetched", F.col("page_id").cast("string")), F.lit(year)))
+    hosts = pages.select(urls.url_host(F.col("url")).alias("pattern")).filter("pattern is not null").distinct()
+    cycles = hosts.filter(_drawn("host", F.col("pattern")) % 2 == 0).select(
+        "pattern", F.explode(F.array(*[F.lit(str(k)) for k in range(3)])).alias("k"))
+    begun = cycles.withColumn("at", _drawn("add", F.col("pattern"), F.col("k")) % year)
+    ended = begun.withColumn("at", F.col("at") + 86400 * (20 + _drawn("remove", F.col("pattern"), F.col("k")) % 60))
+    parents = hosts.select(F.substring_index("pattern", ".", -2).alias("pattern")).distinct().filter(
+        _drawn("parent", F.col("pattern")) % 2 == 0)
+    entries = begun.select("pattern", F.lit("add").alias("action"), "at").union(
+        ended.select("pattern", F.lit("remove"), "at")).union(
+        parents.select("pattern", F.lit("add"), _drawn("add", F.col("pattern"), "once") % year))
+    return urls.listed_captures(pages, entries)
+
+
+SQL["op4_temporal_url_lists"] = r"""
+WITH page AS (
+  SELECT page_id, url, ('0x' || substr(md5('fetched:' || page_id), 1, 8))::BIGINT % 31536000 AS fetched_at,
+         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/:?#]+)', 1), '\.+$', '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '')[1:8] AS parts
+  FROM pages),
+host AS (SELECT DISTINCT host AS pattern FROM page WHERE host <> ''),
+cycle AS (
+  SELECT pattern, k, ('0x' || substr(md5('add:' || pattern || ':' || k), 1, 8))::BIGINT % 31536000 AS begun
+  FROM host, (SELECT unnest(['0', '1', '2']) AS k) WHERE ('0x' || substr(md5('host:' || pattern), 1, 8))::BIGINT % 2 = 0),
+parent AS (SELECT DISTINCT array_to_string(string_split(pattern, '.')[-2:], '.') AS pattern FROM host),
+entry AS (
+  SELECT pattern, TRUE AS valid, begun AS moment FROM cycle
+  UNION ALL SELECT pattern, FALSE, begun + 86400 * (20 + ('0x' || substr(md5('remove:' || pattern || ':' || k), 1, 8))::BIGINT % 60) FROM cycle
+  UNION ALL SELECT pattern, TRUE, ('0x' || substr(md5('add:' || pattern || ':once'), 1, 8))::BIGINT % 31536000 FROM parent
+  WHERE ('0x' || substr(md5('parent:' || pattern), 1, 8))::BIGINT % 2 = 0),
+at_once AS (SELECT pattern, moment, bool_or(valid) AS valid FROM entry GROUP BY ALL),
+change AS (
+  SELECT * FROM (SELECT *, lag(valid, 1, FALSE) OVER (PARTITION BY pattern ORDER BY moment) AS was FROM at_once) WHERE valid <> was),
+span AS (
+  SELECT pattern, moment AS valid_from, nxt AS valid_to
+  FROM (SELECT *, lead(moment) OVER (PARTITION BY pattern ORDER BY moment) AS nxt FROM change) WHERE valid),
+capture AS (SELECT page_id, url, fetched_at, host, parts, count(*) AS n_rows FROM page GROUP BY ALL),
+wide AS (
+  SELECT DISTINCT page_id, url, fetched_at, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS pattern
+  FROM capture WHERE host <> ''),
+met AS (
+  SELECT w.*, s.valid_from, row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY length(w.pattern) DESC, w.pattern, valid_from) AS place,
+         count(*) OVER (PARTITION BY page_id, url, fetched_at) AS n_patterns
+  FROM wide w JOIN span s ON w.pattern = s.pattern AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to))
+SELECT c.page_id, c.url, c.fetched_at, c.n_rows, m.pattern IS NOT NULL AS listed, coalesce(m.n_patterns, 0) AS n_patterns,
+       m.pattern, m.valid_from
+FROM capture c LEFT JOIN met m ON m.place = 1 AND c.page_id = m.page_id AND c.url = m.url AND c.fetched_at = m.fetched_at
+"""
+
+
 @register
 def op5_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text")
