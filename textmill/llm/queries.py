@@ -64,7 +64,7 @@ def op4_temporal_url_lists(spark: SparkSession, d: str) -> DataFrame:
     entries = begun.select("pattern", F.lit("add").alias("action"), "at").union(
         ended.select("pattern", F.lit("remove"), "at")).union(
         parents.select("pattern", F.lit("add"), _drawn("add", F.col("pattern"), "once") % year))
-    return urls.listed_captures(pages, entries)
+    return urls.listed_captures(pages, entries).fillna(-1, ["valid_from"])
 
 
 SQL["op4_temporal_url_lists"] = r"""
@@ -100,7 +100,7 @@ met AS (
          count(*) OVER (PARTITION BY page_id, url, fetched_at) AS n_patterns
   FROM wide w JOIN span s ON w.pattern = s.pattern AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to))
 SELECT c.page_id, c.url, c.fetched_at, c.n_rows, m.pattern IS NOT NULL AS listed, coalesce(m.n_patterns, 0) AS n_patterns,
-       m.pattern, m.valid_from
+       m.pattern, coalesce(m.valid_from, -1) AS valid_from
 FROM capture c LEFT JOIN met m ON m.place = 1 AND c.page_id = m.page_id AND c.url = m.url AND c.fetched_at = m.fetched_at
 """
 
