@@ -3,16 +3,17 @@
 A line's key is the line without white space at its ends, A-Z in lower case; it is
 known by a 128-bit digest.  :class:`LineIndex` holds two tables:
 
-* ``counts`` (digest, n_docs, last_doc, docs_seen): the exact reference counts, with
-  one row for every key; ``refs`` (digest, doc_id) lists who holds it, so that a
-  deletion can be undone to the row.
+* ``counts`` (digest, n_docs, last_doc): the exact reference counts, one row for every
+  key; ``refs`` (digest, doc_id) lists who holds it, so that a deletion can be undone
+  to the row.
 * ``filters`` (shard, slots): a cuckoo filter for each shard of the keys that enough
   documents hold.  A cuckoo filter can forget a key, so a deletion takes keys out
   that fall below the limit.
 
-Documents are read against the filters, which are small; the few lines that pass
-are looked up in the exact counts, so a false positive of a filter costs a lookup
-and never a line.
+Documents are read against the filters; the few lines that pass are looked up in
+the exact counts, so a false positive of a filter costs a lookup and never a line.
+While the filters and the counts of those keys are within a fixed size they go to
+the tasks, and no text is moved; beyond it the lookup is a join.
 """
 
 from __future__ import annotations
@@ -154,18 +155,6 @@ def _keys(min_chars: int):
     return run
 
 
-def _suspects(min_chars: int, shards: int, filters):
-    """Arrow task: the keys of (doc_id, text) that pass the filters."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = {s: np.frombuffer(x, np.uint16).reshape(-1, _SLOTS) for s, x in filters.value.items()}
-        for keys in _keys(min_chars)(batches):
-            if keys.num_rows:
-                flat = np.frombuffer(b"".join(keys.column(0).to_pylist()), np.uint8).reshape(-1, 16)
-                yield keys.filter(pa.array(matches(slots, shards, flat)))
-
-    return run
-
-
 def _filter_group(shards: int):
     """Arrow group: the cuckoo filter of one shard's digests."""
     def run(group: pa.Table) -> pa.Table:
@@ -187,27 +176,62 @@ def _change_filter(group: pa.Table, filters: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "slots": pa.array([None if full else made.slots.tobytes()], pa.binary())})
 
 
-def _apply(min_chars: int):
+def _result(rows: pa.Array, texts: list, kept: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    """``kept``: what is left of each text, its lines, and how many of them went."""
+    return pa.record_batch(
+        [rows, pa.array([raw if t else None for t, (raw, _, _) in zip(texts, kept)], pa.binary()).cast(pa.string()),
+         pa.array([n for _, n, _ in kept], pa.int64()), pa.array([n for *_, n in kept], pa.int64()),
+         pa.array([hashlib.sha256(raw).hexdigest() for raw, *_ in kept], pa.string())],
+        ["row", "kept_text", "n_lines", "n_dropped", "kept_sha256"])
+
+
+def _without(raw: bytes, lines: list[bytes], gone: set[int]) -> tuple[bytes, int, int]:
+    if not gone:
+        return raw, len(lines), 0
+    return b"\n".join([x for i, x in enumerate(lines) if i not in gone]), len(lines), len(gone)
+
+
+def _apply_joined(min_chars: int):
     """Arrow task: (row, text, dropped digests) to the lines that stay and their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n_lines, n_dropped, sums = [], [], [], []
+            kept = []
             for text, gone in zip(b.column(1), b.column(2)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 lines = raw.split(b"\n")
-                keep = lines
-                if gone.is_valid and len(gone):
-                    out = set(gone.as_py())
-                    keep = [x for x in lines if len(x) < min_chars or line_digest(x, min_chars) not in out]
-                raw = raw if len(keep) == len(lines) else b"\n".join(keep)
-                texts.append(raw if text.is_valid else None)
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(keep))
-                sums.append(hashlib.sha256(raw).hexdigest())
-            yield pa.record_batch(
-                [b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()),
-                 pa.array(n_dropped, pa.int64()), pa.array(sums, pa.string())],
-                ["row", "kept_text", "n_lines", "n_dropped", "kept_sha256"])
+                out = set(gone.as_py()) if gone.is_valid else ()
+                kept.append(_without(raw, lines, {
+                    i for i, x in enumerate(lines) if out and len(x) >= min_chars and line_digest(x, min_chars) in out}))
+            yield _result(b.column(0), [t.is_valid for t in b.column(1)], kept)
+
+    return run
+
+
+def _apply_here(min_chars: int, shards: int, shared):
+    """Arrow task: (row, text, own_id) to the lines that stay and their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters, exact, last_doc = shared.value
+        slots = {s: np.frombuffer(x, np.uint16).reshape(-1, _SLOTS) for s, x in filters.items()}
+        for b in batches:
+            raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
+            split = [raw.split(b"\n") for raw in raws]
+            spots = [(r, i, d) for r, lines in enumerate(split) for i, x in enumerate(lines)
+                     if len(x) >= min_chars and (d := line_digest(x, min_chars)) is not None]
+            gone: dict[int, set[int]] = {}
+            if spots and len(exact):
+                flat = np.frombuffer(b"".join([d for *_, d in spots]), np.uint8).reshape(-1, 16)
+                maybe = np.flatnonzero(matches(slots, shards, flat))
+                digests = flat[maybe].copy().view("V16").ravel()
+                at = np.minimum(np.searchsorted(exact, digests.view("S16")), len(exact) - 1) if len(maybe) else maybe
+                found = maybe[exact[at].view("V16") == digests] if len(maybe) else maybe
+                last = last_doc[at[exact[at].view("V16") == digests]] if len(maybe) else maybe
+                ids = b.column(2)
+                for k, most in zip(found.tolist(), last.tolist()):
+                    r, i, _ = spots[k]
+                    if not ids[r].is_valid or ids[r].as_py() < most:
+                        gone.setdefault(r, set()).add(i)
+            yield _result(b.column(0), [t.is_valid for t in b.column(1)],
+                          [_without(raw, lines, gone.get(r, set())) for r, (raw, lines) in enumerate(zip(raws, split))])
 
     return run
 
@@ -222,8 +246,8 @@ class LineIndex:
     shards: int
     min_chars: int = 40
     min_docs: int = 5
-    #: Filters of more bytes than this are not sent to the tasks; the exact counts are joined instead.
-    filter_bytes: int = 32 << 20
+    #: Filters and counts of more bytes than this are not sent to the tasks, but joined.
+    sent_bytes: int = 32 << 20
 
     @staticmethod
     def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
@@ -263,7 +287,7 @@ class LineIndex:
                 _sharded(shards), "digest binary, shard int").join(full, "shard", "left_semi").groupBy(
                 "shard").applyInArrow(_filter_group(shards), "shard int, slots binary")
             filters = stored(filters.filter("slots is not null").union(again), "filters")
-        return LineIndex(counts, refs, filters, shards, self.min_chars, self.min_docs, self.filter_bytes)
+        return LineIndex(counts, refs, filters, shards, self.min_chars, self.min_docs, self.sent_bytes)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
@@ -281,18 +305,19 @@ class LineIndex:
         only.  A null or empty text is one empty line; a null stays null.  A row
         without id loses such lines if some holder has an id.
         """
+        spark = docs.sparkSession
         often = self.counts.filter((F.col("n_docs") >= self.min_docs) & F.col("last_doc").isNotNull())
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        size = self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
-        if size <= self.filter_bytes:
-            filters = docs.sparkSession.sparkContext.broadcast(
-                {r["shard"]: bytes(r["slots"]) for r in self.filters.collect()})
-            hits = texts.mapInArrow(_suspects(self.min_chars, self.shards, filters), "digest binary, doc_id long")
-        else:
-            hits = texts.mapInArrow(_keys(self.min_chars), "digest binary, doc_id long")
-        dropped = stored(hits.join(often, "digest").filter("doc_id is null or doc_id < last_doc").groupBy("doc_id").agg(
+        wide = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("own_id"))
+        schema = f"row {wide.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long, kept_sha256 string"
+        size = (self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0) + 24 * often.count()
+        if size <= self.sent_bytes:
+            exact = sorted((bytes(r["digest"]), r["last_doc"]) for r in often.select("digest", "last_doc").collect())
+            shared = spark.sparkContext.broadcast((
+                {r["shard"]: bytes(r["slots"]) for r in self.filters.collect()},
+                np.frombuffer(b"".join(d for d, _ in exact), "S16"), np.array([n for _, n in exact], np.int64)))
+            return wide.mapInArrow(_apply_here(self.min_chars, self.shards, shared), schema)
+        keys = wide.select(F.col("own_id").alias("doc_id"), "text").mapInArrow(_keys(self.min_chars), "digest binary, doc_id long")
+        dropped = stored(keys.join(often, "digest").filter("doc_id is null or doc_id < last_doc").groupBy("doc_id").agg(
             F.collect_set("digest").alias("dropped")), "dropped")
-        wide = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("text"))
         joined = wide.join(dropped, F.col("own_id").eqNullSafe(F.col("doc_id")), "left").select("row", "text", "dropped")
-        return joined.mapInArrow(_apply(self.min_chars), (
-            f"row {wide.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long, kept_sha256 string"))
+        return joined.mapInArrow(_apply_joined(self.min_chars), schema)
