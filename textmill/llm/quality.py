@@ -162,12 +162,19 @@ def judge(docs: DataFrame, references: References, id_col: str = "doc_id", text_
             return (bucket + _BUCKETS * F.array_position(F.get(table, bucket), w)).cast("int")
 
         m = m.withColumn("codes", F.filter(F.transform(common, code), lambda c: c >= _BUCKETS))
-        used = sorted({c for r in references.languages for c in r.codes})
-        m = m.select("*", F.array(*[F.size("codes") - F.size(F.array_remove("codes", F.lit(c))) for c in used]).alias("counts"))
+        # Sorted codes are runs; each run's end gives its length.
+        m = m.withColumn("codes", F.sort_array("codes"))
+        ends = F.filter(F.sequence(F.lit(1), F.size("codes")), lambda j: (j == F.size("codes")) | (
+            F.get("codes", j) != F.get("codes", j - 1)))
+        m = m.withColumn("ends", F.when(F.size("codes") > 0, ends).otherwise(F.array().cast("array<int>")))
+        m = m.withColumn("counts", F.map_from_arrays(
+            F.transform("ends", lambda j: F.get("codes", j - 1)),
+            F.transform("ends", lambda j, i: j - F.coalesce(F.get("ends", i - 1), F.lit(0)))))
         near = []
         for r in references.languages:
-            own = [F.get("counts", F.lit(used.index(c))) for c in r.codes]
-            counts = F.array(*own, F.col("n_words") - sum(own, F.lit(0)))
+            own = F.transform(F.array(*map(F.lit, r.codes)), lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)))
+            counts = F.transform(F.array(own), lambda x: F.array_append(
+                x, (F.col("n_words") - F.aggregate(x, F.lit(0), lambda s, y: s + y)).cast("int")))[0]
             near.append(F.struct(
                 js_distance(counts, F.col("n_words"), r.words).alias("word_distance"),
                 js_distance(F.col("chars"), F.col("word_chars"), r.chars).alias("char_distance"),
