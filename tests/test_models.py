@@ -101,8 +101,9 @@ def test_solver_reaches_the_minimum(trained, loss):
     x, y = dense(rows, n)
     weights = np.array([1.0, 2.0, 1.0])
     total = float(weights[y].sum())
-    p = sol.Problem(loss, 0.05, weights, total, None if loss == sol.SOFTMAX else 1, penalize_bias=True)
-    (w, b), = sol.solve(rows, [p], n, 3, max_iter=200, tol=1e-6)
+    p = sol.Problem(loss, 0.05, weights, total, None if loss == sol.SOFTMAX else 1, penalize_bias=True,
+                    max_iter=200)
+    (w, b), = sol.solve(rows, [p], n, 3, tol=1e-6)
     scores = x @ w + b
     if loss == sol.SOFTMAX:
         q = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -127,6 +128,24 @@ def test_trials_fitted_together_equal_trials_fitted_alone(trained):
     assert np.allclose(both[1].weights, alone[0].weights, atol=1e-6)
 
 
+def test_winner_of_a_grid_equals_its_refit(trained):
+    """The search, the refit and the curve end their fits by the same limit."""
+    m, rows = trained
+    k, v = m.num_classes, m.vocabulary_size
+    for limit in (3, 1000):
+        grid = tuning.Grid("SVM", "svm", ({"c": 0.5}, {"c": 1.0}), limit)
+        best = tuning.grid_search(rows, [grid], k, v, 3)["SVM"]
+        again = tuning.refit(rows, best, k, v, calibrated=False)
+        assert best.max_iter == again.max_iter == limit
+        assert np.allclose(best.heads[0].weights, again.heads[0].weights)
+
+
+def test_accents_do_not_part_terms(spark):
+    df = spark.createDataFrame([("Café naïve CAFE",), (None,)], "text string")
+    got = df.select(feat.word_terms("text", (1, 1)).alias("w"), feat.char_terms("text", (4, 4)).alias("c")).collect()
+    assert got[0]["w"] == ["cafe", "naive", "cafe"] and got[0]["c"].count("cafe") == 2 and got[1]["w"] is None
+
+
 def test_naive_bayes_against_numpy(trained):
     m, rows = trained
     k, v = m.num_classes, m.vocabulary_size

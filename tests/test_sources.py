@@ -2,7 +2,6 @@ import pytest
 
 from textmill.config import DatasetConfig
 from textmill.sources import corpora
-from textmill.sources.tables import read_table, spread
 
 FIRST = 'ID,Resume_str,Resume_html,Category\n1,"Line one\nline ""two""",<p>,HR\n2,plain,<p>,CHEF\n3,plain,<p>,HR\n4,NA,<p>,HR\n'
 SECOND = "Category,Resume\nHR,second a\nHR,second a\nChef,plain\nSales,\n"
@@ -74,7 +73,23 @@ def test_pairs_of_files(spark, tmp_path):
     assert got == [("00001", " Hello ", "Java Developer"), ("00002", "Bye", "HR")]
 
 
-def test_spread_leaves_large_inputs_alone(spark, tables):
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide, "id") is wide
-    assert spread(read_table(spark, tables, "labels"), "doc_id").rdd.getNumPartitions() >= 4
+
+def test_row_ids_follow_path_and_position(spark, tmp_path):
+    """However long the files are, and however they are packed."""
+    for name, rows in (("a", ["one"]), ("b", [f"row {k}" for k in range(400)]), ("c", ["last", "very last"])):
+        (tmp_path / f"{name}.csv").write_text("Category,Resume\n" + "".join(f"HR,{r}\n" for r in rows))
+    got = corpora.read_csv(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r["Resume"] for r in got] == ["one", *[f"row {k}" for k in range(400)], "last", "very last"]
+    assert got[0].asDict().keys() == {"Category", "Resume", "row_id"}
+
+
+def test_input_partitions_are_a_setting(spark, tables):
+    from textmill.sources.tables import read_corpus
+    was = spark.conf.get("textmill.input.partitions")
+    try:
+        spark.conf.set("textmill.input.partitions", "7")
+        assert read_corpus(spark, tables, "labels", "doc_id", "toxic").rdd.getNumPartitions() == 7
+        spark.conf.unset("textmill.input.partitions")
+        assert read_corpus(spark, tables, "labels", "doc_id", "toxic").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("textmill.input.partitions", was)

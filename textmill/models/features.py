@@ -36,13 +36,19 @@ _VECTOR_JSON = T.StructType(
 
 
 @F.pandas_udf(T.StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Letters without their accents, for corpora that skip preprocessing."""
+def _without_accents(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD").str.replace(r"[\u0300-\u036f]", "", regex=True)
 
 
+def strip_accents(text: Column | str) -> Column:
+    """Compatibility forms without combining accents.  Only texts beyond ASCII are sent to Python."""
+    c = col(text)
+    plain = F.length(c) == F.octet_length(c)
+    return F.when(plain, c).otherwise(_without_accents(F.when(~plain, c)))
+
+
 def word_terms(text: Column | str, ngram_range: tuple[int, int] = (1, 2)) -> Column:
-    """Word n-grams, repeated as often as they occur."""
+    """Word n-grams of the text in lower case without accents, repeated as often as they occur."""
 
     def grams(tokens: Column) -> Column:
         blocks = []
@@ -64,12 +70,13 @@ def word_terms(text: Column | str, ngram_range: tuple[int, int] = (1, 2)) -> Col
                 blocks.append(F.when(F.size(tokens) >= n, run).otherwise(none))
         return F.concat(*blocks)
 
-    return let(F.regexp_extract_all(col(text), F.lit(r"[\p{L}\p{N}_]+"), 0), grams)
+    plain = strip_accents(F.lower(col(text)))
+    return let(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]+"), 0), grams)
 
 
 def char_terms(text: Column | str, ngram_range: tuple[int, int] = (2, 5)) -> Column:
-    """Character n-grams across blanks, repeated as often as they occur."""
-    plain = F.regexp_replace(F.lower(col(text)), r"\s\s+", " ")
+    """Character n-grams across blanks, in lower case without accents, repeated as often as they occur."""
+    plain = F.regexp_replace(strip_accents(F.lower(col(text))), r"\s\s+", " ")
     lo, hi = ngram_range
     return let(plain, lambda t: F.concat(*[char_ngrams(t, n) for n in range(lo, hi + 1)]))
 

@@ -18,17 +18,18 @@ from textmill.models import linear as L
 from textmill.operators.split import fold_of, stratified_rank
 
 def with_folds(df: DataFrame, id_col: str, k: int, seed: int = 42, calibration: int = 3,
-               steps: int = 10, label_col: str = "label_idx") -> DataFrame:
-    """Adds ``fold``, ``cal_fold`` and ``step``, all stratified by label.
+               steps: int = 10, label_col: str = "label_idx", curve: int = 5) -> DataFrame:
+    """Adds ``fold``, ``curve_fold``, ``cal_fold`` and ``step``, all stratified by label.
 
-    One ranking serves the three: rank mod k, rank div k mod the calibration
-    folds, and the tenth of the label the rank falls into.  Ranking shuffles the
+    One ranking serves all: rank mod k (mod ``curve`` for the learning curve), rank
+    div k mod the calibration folds, and the tenth of the label the rank falls into.  Ranking shuffles the
     rows, so it is cheaper on texts than on their features.
     """
     ranked = stratified_rank(df, id_col, label_col, seed)
     per_fold = F.floor((F.col("label_rank") - 1) / k)
     return (
         ranked.withColumn("fold", fold_of("label_rank", k))
+        .withColumn("curve_fold", fold_of("label_rank", curve))
         .withColumn("cal_fold", F.pmod(per_fold, F.lit(calibration)).cast("int"))
         .withColumn(
             "step",
@@ -54,11 +55,12 @@ class Grid:
     name: str
     kind: str
     points: tuple[dict, ...]
+    max_iter: int = 1000
 
 
 def grid_search(
     df: DataFrame, grids: Sequence[Grid], n_classes: int, n_terms: int, k: int,
-    max_iter: int = 100, only: tuple = (),
+    only: tuple = (),
 ) -> dict[str, L.Classifier]:
     """Best point of each grid by mean fold accuracy; the first wins a tie.
 
@@ -69,10 +71,10 @@ def grid_search(
     for grid in grids:
         for point in grid.points:
             for f in range(k):
-                trials.append(L.Trial(grid.kind, point, (*only, ("fold", "!=", f))))
+                trials.append(L.Trial(grid.kind, point, (*only, ("fold", "!=", f)), grid.max_iter))
                 folds.append(f)
-            whole.append(L.Trial(grid.kind, point, only))
-    heads = L.fit_trials(df, trials + whole, n_classes, n_terms, max_iter)
+            whole.append(L.Trial(grid.kind, point, only, grid.max_iter))
+    heads = L.fit_trials(df, trials + whole, n_classes, n_terms)
     judged = [L.Classifier("trial", (h,)) for h in heads[: len(folds)]]
     scores = _accuracies(df, judged, folds).reshape(len(whole), k)
     out, at = {}, 0
@@ -81,7 +83,7 @@ def grid_search(
         best = int(np.argmax(own.mean(axis=1)))
         out[grid.name] = L.Classifier(
             grid.name, (heads[len(folds) + at + best],), dict(grid.points[best]),
-            float(own[best].mean()), float(own[best].std()),
+            float(own[best].mean()), float(own[best].std()), grid.max_iter,
         )
         at += len(grid.points)
     return out
@@ -122,10 +124,10 @@ def tune_hyperparameters(
     out = grid_search(
         df,
         [
-            Grid("SVM", "svm", tuple({"c": c} for c in config.svm_c_values)),
-            Grid("LR", "logistic", tuple({"c": c} for c in config.lr_c_values)),
+            Grid("SVM", "svm", tuple({"c": c} for c in config.svm_c_values), config.svm_max_iter),
+            Grid("LR", "logistic", tuple({"c": c} for c in config.lr_c_values), config.lr_max_iter),
         ],
-        n_classes, n_terms, k, max(config.svm_max_iter, config.lr_max_iter),
+        n_classes, n_terms, k,
     )
     out["NB"] = bayes_search(df, "NB", [config.nb_alpha], n_classes, n_terms, k)
     return out
@@ -141,11 +143,11 @@ def tune_all_classifiers(
     linear = grid_search(
         df,
         [
-            Grid("LinearSVC", "svm", tuple({"c": c} for c in grids.svm_c)),
-            Grid("LogisticRegression", "logistic", tuple({"c": c} for c in grids.lr_c)),
-            Grid("SGDClassifier", "sgd", sgd),
+            Grid("LinearSVC", "svm", tuple({"c": c} for c in grids.svm_c), grids.svm_max_iter),
+            Grid("LogisticRegression", "logistic", tuple({"c": c} for c in grids.lr_c), grids.lr_max_iter),
+            Grid("SGDClassifier", "sgd", sgd, grids.sgd_max_iter),
         ],
-        n_classes, n_terms, k, max(grids.svm_max_iter, grids.lr_max_iter, grids.sgd_max_iter),
+        n_classes, n_terms, k,
     )
     sums = L.collect_sums(df, n_classes, n_terms, "fold")
     bayes = bayes_search(df, "MultinomialNB", grids.nb_alpha, n_classes, n_terms, k, sums=sums)
@@ -201,11 +203,11 @@ def refit(
         fitted = L.Classifier(c.name, (make(sums, c.params["alpha"]),), c.params)
     elif kind != "logistic" and calibrated:
         fitted = L.calibrate(
-            df, n_classes, n_terms, c.name, kind, c.params, grids.calibration_folds, only=only
+            df, n_classes, n_terms, c.name, kind, c.params, grids.calibration_folds, c.max_iter, only
         )
     else:
-        heads = L.fit_trials(df, [L.Trial(kind, c.params, only)], n_classes, n_terms)
-        fitted = L.Classifier(c.name, tuple(heads), c.params)
+        heads = L.fit_trials(df, [L.Trial(kind, c.params, only, c.max_iter)], n_classes, n_terms)
+        fitted = L.Classifier(c.name, tuple(heads), c.params, max_iter=c.max_iter)
     return replace(fitted, cv_mean=c.cv_mean, cv_std=c.cv_std)
 
 
@@ -259,7 +261,6 @@ def cross_validate(
 
 def learning_curve(
     df: DataFrame, c: L.Classifier, n_classes: int, n_terms: int, k: int = 5, steps: int = 10,
-    max_iter: int = 100,
 ) -> DataFrame:
     """Accuracy on the training rows and on the held-out fold for growing shares
     of the training rows: nested, stratified subsets.
@@ -270,9 +271,10 @@ def learning_curve(
         return bayes_learning_curve(df, n_classes, n_terms, c.params["alpha"], k, steps)
     jobs = [(s, f) for s in range(1, steps + 1) for f in range(k)]
     trials = [
-        L.Trial(_KINDS[c.name], c.params, (("fold", "!=", f), ("step", "<=", s))) for s, f in jobs
+        L.Trial(_KINDS[c.name], c.params, (("fold", "!=", f), ("step", "<=", s)), c.max_iter)
+        for s, f in jobs
     ]
-    heads = L.fit_trials(df, trials, n_classes, n_terms, max_iter)
+    heads = L.fit_trials(df, trials, n_classes, n_terms)
     return curve_table(df, [L.Classifier(c.name, (h,)) for h in heads], jobs)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textmill.functions.labels import detect_mislabel, is_leaf, normalize_label
 from textmill.functions.text import strip
 from textmill.operators.dedup import drop_exact_duplicates, drop_normalized_duplicates
+from textmill.session import materialize
 
 
 def require_columns(df: DataFrame, required: Sequence[str], name: str = "DataFrame") -> DataFrame:
@@ -28,13 +29,8 @@ def drop_short(df: DataFrame, text_col: str, min_length: int = 100) -> DataFrame
 
 
 def add_normalized_label(df: DataFrame, label_col: str, to: str) -> DataFrame:
-    """Adds the canonical label.  Each distinct label is normalised once; the
-    table of labels is joined without a hint, so that it is broadcast when the
-    planner has measured it as small."""
-    table = df.select(F.col(label_col).alias("_raw")).distinct()
-    table = table.withColumn("_canonical", normalize_label("_raw"))
-    joined = df.join(table, F.col(label_col).eqNullSafe(F.col("_raw")))
-    return joined.withColumn(to, F.col("_canonical")).drop("_raw", "_canonical")
+    """Adds the canonical label, row by row."""
+    return df.withColumn(to, normalize_label(label_col))
 
 
 def clean_frame(
@@ -129,8 +125,8 @@ def clean_corpus(
 
     Label counts are taken after the mislabelled rows are gone and before
     duplicates are, so a label that is kept may end with fewer rows than the
-    minimum.  The counts are joined without a hint: the table has one row per
-    label, and the adaptive planner broadcasts it when it has seen its size.
+    minimum.  The counts (one row per label) are stored first, so the planner knows
+    their size before it plans the join, and does not shuffle the texts by label.
     """
     order = list(order or [id_col])
     suggested = (
@@ -141,9 +137,9 @@ def clean_corpus(
     )
     credible = judged.filter(F.col("_suggested").isNull())
     if remove_rare_labels:
-        counts = credible.groupBy("normalized_label").agg(
+        counts = materialize(credible.groupBy("normalized_label").agg(
             (F.count("*") < min_rows_per_label).alias("_rare")
-        )
+        ), "label-counts")
         sized = credible.join(counts, "normalized_label")
     else:
         sized = credible.withColumn("_rare", F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.exprs import hash_hex
+from textmill.session import materialize
 
 _BUCKET_DIGITS = 3
 
@@ -27,12 +28,12 @@ def stratified_rank(
     but no task ever sees a whole label.  The leading hash digits cut each label
     into 16^digits even buckets; buckets are counted (with map-side combining),
     running totals are taken over the counts, and rows are ranked within their
-    bucket only.
+    bucket only.  The counts are stored first, so the planner knows their size.
     """
     h = hash_hex(seed, F.col(id_col))
     keyed = df.withColumn("_hash", h).withColumn("_bucket", F.substring("_hash", 1, bucket_digits))
     keys = [F.col(label_col), F.col("_bucket")]
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = materialize(keyed.groupBy(*keys).agg(F.count("*").alias("_n")), "bucket-sizes")
     whole = Window.partitionBy(label_col)
     running = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -84,12 +85,19 @@ def train_test_split(
     df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Adds ``is_test``; every label keeps its share on both sides."""
-    ranked = stratified_rank(df, id_col, label_col, seed)
-    counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
-    quotas = test_quotas(counts, test_size).select(F.col("label").alias("_label"), "n_test")
+    ids = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
+    counts = ids.groupBy("label").agg(F.count("*").alias("n"))
+    quotas = materialize(test_quotas(counts, test_size), "quotas")
+    # Only ids and labels are ranked; the last test row of each label is the cut
+    # that every row is compared with, where it lies.
+    last = stratified_rank(ids, "_id", "label", seed).join(
+        quotas.select(F.col("label").alias("_of"), "n_test"), F.col("label").eqNullSafe(F.col("_of")))
+    cuts = materialize(last.filter(F.col("label_rank") == F.col("n_test")).select(
+        F.col("label").alias("_label"), F.struct(hash_hex(seed, F.col("_id")), F.col("_id")).alias("_cut")), "cuts")
+    order = F.struct(hash_hex(seed, F.col(id_col)), F.col(id_col))
     return (
-        ranked.join(quotas, F.col(label_col).eqNullSafe(F.col("_label")))
-        .withColumn("is_test", F.col("label_rank") <= F.col("n_test"))
+        df.join(cuts, F.col(label_col).eqNullSafe(F.col("_label")), "left")
+        .withColumn("is_test", F.coalesce(order <= F.col("_cut"), F.lit(False)))
         .select(*df.columns, "is_test")
     )
 

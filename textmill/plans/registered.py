@@ -27,7 +27,7 @@ from textmill.plans import sqltext as s
 from textmill.plans.training import feature_extractor, train
 from textmill.session import materialize, new_dir
 from textmill.sources import corpora
-from textmill.sources.tables import read_corpus, read_table, spread
+from textmill.sources.tables import read_corpus, read_table
 from textmill.streaming.score import read_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -993,7 +993,7 @@ def prepared(spark, d) -> tuple[feat.TextFeatureModel, DataFrame]:
         folds = tuning.with_folds(
             _processed(spark, d), "doc_id", _CONFIG.fast_cv_folds, _CONFIG.seed, label_col="label"
         )
-        rows = spread(materialize(folds, "processed"), "doc_id")
+        rows = materialize(folds, "processed")
         model = feature_extractor(_CONFIG).fit(rows)
         _PREPARED[key] = (model, materialize(model.transform(rows).drop("text"), "features"))
     return _PREPARED[key]
@@ -1025,6 +1025,17 @@ def _terms_sql(block: str) -> str:
               ln((1 + (select count(*) from docs)) / (1 + df)::double) + 1 as idf from top)"""
 
 
+@register("accented_term_counts", r"""
+  with t as (select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as tk
+             from documents),
+  occ as (select doc_id, unnest(tk) as term from t union all
+          select doc_id, unnest([a[1] || ' ' || a[2] for a in list_zip(tk[1:-2], tk[2:])]) from t)
+  select term, count(distinct doc_id) as df, count(*) as tf from occ group by term""")
+def accented_term_counts(spark, d):
+    """Word terms of the raw texts, as a corpus without preprocessing has them."""
+    return feat.term_counts(documents(spark, d).select("doc_id", "text"), feat.word_terms("text", (1, 2)))
+
+
 @register("word_vocabulary", f"with {_terms_sql('word')} select term, df, round(idf, 9) as idf, idx as term_idx from vocab")
 def word_vocabulary(spark, d):
     v = prepared(spark, d)[0].vocabulary(spark)
@@ -1233,8 +1244,8 @@ def detailed_prediction(spark, d):
 @register("tune_hyperparameters")
 def tune_hyperparameters(spark, d):
     model, table = prepared(spark, d)
-    folds = tuning.with_folds(table.drop("fold", "cal_fold", "step"), "doc_id", _CONFIG.cv_folds, _CONFIG.seed)
-    rows = spread(folds, "doc_id").persist()
+    folds = tuning.with_folds(table.drop("fold", "curve_fold", "cal_fold", "step"), "doc_id", _CONFIG.cv_folds, _CONFIG.seed)
+    rows = folds.persist()
     try:
         tuned = tuning.tune_hyperparameters(rows, model.num_classes, model.vocabulary_size, _CONFIG)
     finally:
@@ -1245,7 +1256,7 @@ def tune_hyperparameters(spark, d):
 @register("tune_all_classifiers")
 def tune_all_classifiers(spark, d):
     model, table = prepared(spark, d)
-    rows = spread(table, "doc_id").persist()
+    rows = table.persist()
     try:
         tuned = tuning.tune_all_classifiers(rows, model.num_classes, model.vocabulary_size, _CONFIG)
     finally:
@@ -1337,16 +1348,17 @@ def score_stream_query(spark, d):
 def train_single_model(spark, d):
     """The whole training without an ensemble; the report of the test rows."""
     corpus = documents(spark, d).select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label"))
-    result = train(corpus, config=ModelConfig(use_ensemble=False, use_augmentation=False), with_curve=False)
+    result = train(corpus, config=ModelConfig(use_ensemble=False))
     return result.report
 
 
 @register("train_ensemble")
 def train_ensemble(spark, d):
-    """The whole training: augmentation, five-way search, vote, stored tables."""
+    """The whole training on the documents that ``labels`` covers: augmentation, five-way
+    search, vote, its cross-validation, learning curve, stored tables."""
     marks = read_table(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality")).alias("label"))
     corpus = documents(spark, d).join(marks, "doc_id").select(F.col("doc_id").alias("row_id"), "text", "label")
-    result = train(corpus, with_curve=False)
+    result = train(corpus)
     path = new_dir(spark, "trained")
     result.save(path)
     return spark.read.parquet(f"{path}/output/report")

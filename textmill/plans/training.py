@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.config import ModelConfig, SearchGrids
+from textmill.fixed_values import UNKNOWN_LABEL
 from textmill.functions.text import preprocess
 from textmill.models import linear as L
 from textmill.models import tuning as U
@@ -21,7 +22,6 @@ from textmill.operators.evaluate import (
 from textmill.operators.split import train_test_split
 from textmill.operators.stats import label_counts
 from textmill.session import materialize
-from textmill.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class TrainingResult:
     model_name: str
     ranking: DataFrame
     class_distribution: DataFrame
+    cross_validation: DataFrame | None
     learning_curve: DataFrame | None
     predictions: DataFrame
     overall: DataFrame
@@ -41,6 +42,7 @@ class TrainingResult:
         self.classifier.save(f"{base}/models")
         tables = {
             "class_distribution": self.class_distribution,
+            "cross_validation": self.cross_validation,
             "learning_curve": self.learning_curve,
             "confusion_matrix": self.confusion,
             "overall": self.overall,
@@ -67,15 +69,14 @@ def train(
 
     ``corpus`` has ``text``, ``label`` and a unique id.  The split comes before
     the augmentation, so no copy of a test row is trained on.  Each intermediate
-    that later passes read again is written to the shared folder, once.
+    that later passes read again is written to the shared folder, once.  A row
+    without a label counts as one of the unknown label.
     """
-    cleaned = corpus.filter(F.col("label").isNotNull()).select(
-        F.col(id_col).cast("string").alias("id"), preprocess("text").alias("text"), "label"
-    )
-    split = spread(
-        materialize(train_test_split(cleaned, "id", "label", config.test_size, config.seed), "split"),
-        "id",
+    cleaned = corpus.select(
+        F.col(id_col).cast("string").alias("id"), preprocess("text").alias("text"),
+        F.coalesce("label", F.lit(UNKNOWN_LABEL)).alias("label"),
     )
+    split = materialize(train_test_split(cleaned, "id", "label", config.test_size, config.seed), "split")
     training = split.filter(~F.col("is_test")).drop("is_test")
     testing = split.filter("is_test").drop("is_test")
     if config.use_augmentation:
@@ -85,18 +86,23 @@ def train(
     folds = config.fast_cv_folds if config.use_ensemble else config.cv_folds
     training = U.with_folds(
         training, "id", folds, config.seed, grids.calibration_folds, config.learning_curve_steps,
-        "label",
+        "label", config.cv_folds,
     )
-    training = spread(materialize(training, "training"), "id")
+    training = materialize(training, "training")
 
     features = feature_extractor(config).fit(training)
     n_classes, n_terms = features.num_classes, features.vocabulary_size
     rows = materialize(features.transform(training).drop("text"), "features").persist()
+    cv = None
     try:
         if config.use_ensemble:
             tuned = U.tune_all_classifiers(rows, n_classes, n_terms, config, grids)
             model = U.create_ensemble(rows, tuned, n_classes, n_terms, config.top_n, grids)
             name = "ensemble"
+            scores = U.cross_validate(rows, folds, lambda only: U.create_ensemble(
+                rows, tuned, n_classes, n_terms, config.top_n, grids, only))
+            cv = corpus.sparkSession.createDataFrame(
+                [(name, f, float(a)) for f, a in enumerate(scores)], "model string, fold int, accuracy double")
         else:
             tuned = U.tune_hyperparameters(rows, n_classes, n_terms, config)
             best = U.best_of(tuned)[0]
@@ -106,7 +112,8 @@ def train(
         curve = None
         if with_curve:
             curve = U.learning_curve(
-                rows, U.best_of(tuned)[0], n_classes, n_terms, folds, config.learning_curve_steps
+                rows.withColumn("fold", F.col("curve_fold")), U.best_of(tuned)[0], n_classes, n_terms,
+                config.cv_folds, config.learning_curve_steps,
             )
             curve = materialize(curve, "curve")
     finally:
@@ -122,6 +129,7 @@ def train(
         model_name=name,
         ranking=U.ranking(corpus.sparkSession, tuned),
         class_distribution=label_counts(training, "label"),
+        cross_validation=cv,
         learning_curve=curve,
         predictions=predictions,
         overall=overall_metrics(confusion),

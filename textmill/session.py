@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ def local_session(cpus: int | str = "*", app: str = "textmill") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
+        .config("textmill.input.partitions", str(shuffle))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,18 +31,26 @@ def local_session(cpus: int | str = "*", app: str = "textmill") -> SparkSession:
     return spark
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
     Only a local session without one (tests, a single machine) gets a temporary
-    folder; on a cluster that would be invisible to the other machines.
+    folder, which goes with the process; on a cluster that would be invisible to the
+    other machines.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        path = tempfile.mkdtemp(prefix="textmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # The setting is static, so the folder is remembered here.
+        path = _LOCAL.get(spark.sparkContext.applicationId)
+        if path is None:
+            path = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="textmill-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 

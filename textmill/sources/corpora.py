@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -44,9 +45,10 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
     """All columns as strings, missing markers as null, and a ``row_id``.
 
-    Quoted fields may span lines, so a file is one split and its rows come in
-    file order; ``row_id`` numbers them by file and position.  A stored id
-    (``id_col``) is used instead where there is one.
+    Quoted fields may span lines, so a file is one split and one task; a large
+    corpus should come in many files.  ``row_id`` numbers the rows by the path of
+    their file and their position, however Spark packs the files into tasks.  A
+    stored id (``id_col``) is used instead where there is one.
     """
     require_path(spark, path)
     columns = csv_header(spark, path)
@@ -57,10 +59,22 @@ def read_csv(spark: SparkSession, path: str, id_col: str | None = None) -> DataF
         .csv(path)
     )
     known = rows.select(
+        *([] if id_col else ["_metadata"]),
         *[F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in columns]
     )
-    row_id = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
-    return known.withColumn("row_id", row_id)
+    if id_col:
+        return known.withColumn("row_id", F.col(id_col).cast("long"))
+    # The lower 33 bits number the rows of a task, which reads file after file.
+    placed = known.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    files = sorted(rows.inputFiles())
+    if len(files) == 1:
+        return placed.drop("_metadata").withColumnRenamed("_place", "row_id")
+    ranks = spark.createDataFrame([(re.sub(":/+", ":/", f), k) for k, f in enumerate(files)], "_file string, _rank long")
+    return (
+        placed.withColumn("_file", F.regexp_replace("_metadata.file_path", ":/+", ":/")).join(ranks, "_file", "left")
+        .withColumn("row_id", F.shiftleft("_rank", 33) + F.col("_place"))
+        .select(*columns, "row_id")
+    )
 
 
 def list_csv_files(spark: SparkSession, directory: str) -> DataFrame:
