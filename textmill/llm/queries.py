@@ -123,8 +123,8 @@ def op6_winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def op7_cnn_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
     labels = read(spark, d, "labels").select("doc_id", "toxic")
-    rows = docs.filter(~held_out(F.col("doc_id"), 3, 1)).join(labels, "doc_id")
-    return toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(rows)).select(
+    model = toxicity.fit_toxicity(docs, labels.filter(~held_out(F.col("doc_id"), 3, 1)))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select(
         "row.doc_id", held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "score", "predicted", "language")
 
 

@@ -7,22 +7,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, max_labels: int,
-                    *more: str) -> pd.DataFrame:
-    """Some ``per_label`` rows of (doc_id, text, label, more) for each of the most frequent labels.
+def drawn(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame | None:
+    """Some ``per_label`` rows for each of the most frequent labels; None if there is no label.
 
     A row is taken if the hash of its id is below the share that its label needs, so
-    the choice does not depend on partitions and only the labels are read to find the
-    shares.  Texts of more than ``max_chars`` code points are not taken; together the
-    parameters bound what reaches the driver.
+    the choice does not depend on partitions, and only the labels are read to find
+    the shares.
     """
     counts = (rows.filter(F.col(label).isNotNull()).groupBy(label).count()
               .orderBy(F.desc("count"), label).limit(max_labels).collect())
     if not counts:
-        return pd.DataFrame({c: [] for c in ("doc_id", "text", label, *more)})
+        return None
     cut = F.lit(None)
     for r in counts:
         cut = F.when(F.col(label) == r[label], F.lit(min(1.0, per_label / r["count"]))).otherwise(cut)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = rows.filter((draw < cut) & F.col("text").isNotNull()).filter(F.length("text") <= max_chars)
-    return taken.select("doc_id", "text", label, *more).toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    return rows.filter(draw < cut)
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, max_labels: int) -> pd.DataFrame:
+    """A drawn sample of rows (doc_id, text, label).
+
+    Texts of more than ``max_chars`` code points are not taken; together the
+    parameters bound what reaches the driver.
+    """
+    taken = drawn(rows, label, per_label, max_labels)
+    if taken is None:
+        return pd.DataFrame({c: [] for c in ("doc_id", "text", label)})
+    return _collected(taken.select("doc_id", "text", label), max_chars)
+
+
+def joined_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int,
+                  max_labels: int) -> pd.DataFrame:
+    """The same where the labels (doc_id, label) are a table of their own: labels are
+    drawn first, so a table of bounded size is broadcast and no text is moved."""
+    taken = drawn(labels, label, per_label, max_labels)
+    rows = taken.select("doc_id", label).dropDuplicates(["doc_id"]).collect() if taken is not None else []
+    if not rows:
+        return pd.DataFrame({c: [] for c in (*docs.columns, label)})
+    few = docs.sparkSession.createDataFrame(rows, taken.select("doc_id", label).schema)
+    return _collected(docs.join(F.broadcast(few), "doc_id"), max_chars)
+
+
+def _collected(taken: DataFrame, max_chars: int) -> pd.DataFrame:
+    fit = taken.filter(F.col("text").isNotNull()).filter(F.length("text") <= max_chars)
+    return fit.toPandas().sort_values(["doc_id", "text"], ignore_index=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.langid import _GAPS
-from textmill.llm.sampling import labelled_sample
+from textmill.llm.sampling import joined_sample
 from textmill.llm.words import hash_spans, slices, text_bytes, word_spans
 
 THRESHOLD = 0.7
@@ -238,11 +238,12 @@ def _predict(shared):
     return run
 
 
-def fit_toxicity(rows: DataFrame, per_label: int = 4000, max_chars: int = 30_000) -> ToxicityModel | float:
-    """A model from rows of (doc_id, text, toxic, lang); a bounded sample of either label is read."""
-    counts = {r["toxic"]: r["count"] for r in rows.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    sample = labelled_sample(rows.filter("toxic in (0, 1)"), "toxic", per_label, max_chars, 2, "lang")
-    share = {k: min(1.0, per_label / n) for k, n in counts.items()}
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_chars: int = 30_000) -> ToxicityModel | float:
+    """A model from documents (doc_id, text, lang) and labels (doc_id, toxic); a bounded
+    sample of either label is read."""
+    marked = labels.filter("toxic in (0, 1)").select("doc_id", "toxic")
+    share = {r["toxic"]: min(1.0, per_label / r["count"]) for r in marked.groupBy("toxic").count().collect()}
+    sample = joined_sample(docs.select("doc_id", "text", "lang"), marked, "toxic", per_label, max_chars, 2)
     return ToxicityModel.fit(sample, share.get(1, 1.0) / share.get(0, 1.0))
 
 
