@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
-import pandas as pd
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
@@ -35,16 +36,22 @@ _VECTOR_JSON = T.StructType(
 )
 
 
-@F.pandas_udf(T.StringType())
-def _without_accents(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+@cache
+def _accents() -> tuple[str, str]:
+    """Characters that are one letter with marks and these letters, then the marks alone."""
+    parted, letters = [], []
+    for c in map(chr, range(0x80, 0x3000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            parted.append(c)
+            letters.append(plain)
+    return "".join(parted + [chr(c) for c in range(0x300, 0x370)]), "".join(letters)
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Compatibility forms without combining accents.  Only texts beyond ASCII are sent to Python."""
+    """Letters without their accents; texts of ASCII alone pass untouched."""
     c = col(text)
-    plain = F.length(c) == F.octet_length(c)
-    return F.when(plain, c).otherwise(_without_accents(F.when(~plain, c)))
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(c, *_accents()))
 
 
 def word_terms(text: Column | str, ngram_range: tuple[int, int] = (1, 2)) -> Column:
