@@ -59,6 +59,7 @@ def test_repeated_paragraphs_equal_brute_force(spark):
     got = paragraphs.repeated_paragraphs(docs)
     want = brute_paragraphs(rows)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+    assert sorted(map(tuple, paragraphs.repeated_paragraphs(docs, sent_bytes=0).collect())) == want
     left = {r.doc_id: r.text for r in paragraphs.without_repeats(docs, got).filter("doc_id is not null").collect()}
     gone = {(d, k) for d, k, *_, out in want if out}
     for d, text in rows:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.minhash import SIGNED, Banding, crowded_buckets, near_links, shingles, signed_columns
 from textmill.llm.tables import stored
-from textmill.llm.words import slices, word_hashes
+from textmill.llm.words import mix, slices, word_hashes
 
 RECALL = 0.999
 
@@ -56,23 +56,34 @@ def _occurrences(width: int, banding: Banding, min_words: int):
     return run
 
 
-def _texts(min_words: int):
-    """Arrow task: (doc_id, text) to place and text of its paragraphs."""
+def _spot(doc_id: np.ndarray, para: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + para.astype(np.int64).view(np.uint64))
+
+
+def _texts(min_words: int, wanted):
+    """Arrow task: (doc_id, text) to place and text of its paragraphs, if their hashed places are ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             row, place, _, lines, *_rest = _split(b.column(1), min_words)
-            yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(place), lines], ["doc_id", "para", "text"])
+            out = pa.record_batch([b.column(0).take(pa.array(row)), pa.array(place), lines], ["doc_id", "para", "text"])
+            if wanted is not None and out.num_rows:
+                spots, known = _spot(out.column(0).to_numpy(), place), wanted.value
+                at = np.minimum(np.searchsorted(known, spots), max(len(known) - 1, 0))
+                out = out.filter(pa.array(known[at] == spots if len(known) else np.zeros(len(spots), bool)))
+            yield out
 
     return run
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40, width: int = 5,
-                        threshold: int = 75, banding: Banding | None = None) -> DataFrame:
+                        threshold: int = 75, banding: Banding | None = None, sent_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, para, n_words, keeper_doc_id, keeper_para, removed): the paragraphs of clusters in several documents.
 
     ``para`` is the number of the line, from 0.  Rows without id or text have no
     paragraph, nor have texts without a line of ``min_words`` words; repeated rows
-    with one id are one document and keep their own rows.
+    with one id are one document and keep their own rows.  While the places of the
+    paragraphs that share a bucket take at most ``sent_bytes``, they are sent to the
+    tasks, which then pass on those paragraphs alone.
     """
     banding = banding or Banding.tuned(threshold, RECALL, 48, 512)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -84,8 +95,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = crowded_buckets(nodes)
     crowded = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.para")
-    lines = texts.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
-        _texts(min_words), "doc_id long, para long, text string")
+    wanted = None
+    if 8 * crowded.count() <= sent_bytes:  # else all paragraphs go through the join
+        places = crowded.select("doc_id", "para").toPandas()
+        wanted = docs.sparkSession.sparkContext.broadcast(
+            np.sort(_spot(places["doc_id"].to_numpy(np.int64), places["para"].to_numpy(np.int64))))
+    lines = texts.mapInArrow(_texts(min_words, wanted), "doc_id long, para long, text string")
     named = stored(lines.join(crowded, ["doc_id", "para"]).select("node", "text"), "paragraphs")
     near = near_links(nodes, buckets, named, width, threshold, banding)
     cluster = nodes.select("digest", "node").join(near, "node", "left").select(
