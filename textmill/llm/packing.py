@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.tables import stored
 from textmill.llm.words import space_words
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -82,7 +83,8 @@ def pack_documents(docs: DataFrame, n_tokens: Column, id_col: str = "doc_id", ca
     evenly.
     """
     largest = max(capacities)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens.cast("long").alias("n")).filter("n > 0")
+    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens.cast("long").alias("n")), "lengths")
+    sized = sized.filter("n > 0")
     pieces = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {largest}")))).select(
         "doc_id", F.col("pos").cast("long").alias("piece"),
         F.least(F.lit(largest).cast("long"), F.col("n") - F.col("pos") * largest).alias("n_tokens"))
@@ -96,5 +98,4 @@ def pack_documents(docs: DataFrame, n_tokens: Column, id_col: str = "doc_id", ca
 
 def token_count(text: Column) -> Column:
     """Words between white space and one end token; 0 for null and for a text without words."""
-    n = F.size(space_words(text))
-    return F.when(n > 0, n + 1).otherwise(0)
+    return F.transform(F.array(F.size(space_words(text))), lambda n: F.when(n > 0, n + 1).otherwise(0))[0]
