@@ -16,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.llm.tables import stored
 from textmill.llm.words import space_words
 
-#: Classes of characters; what is in none of them and no white space is the last one.
-CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "beyond": "[^\\x00-\\x7F]+"}
+#: Classes of characters by their pattern; a-z, the most frequent, is what is left of the words.
+CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "beyond": "[^\\x00-\\x7F]+",
+           "other": "[\\x00-\\x08\\x0E-\\x1F!-/:-@\\[-`{-\\x7F]+"}
 SYMBOLS = "[#*$%&|<>]+"
 _LINE_WORD = "[^\\x20\\x09-\\x0D]"
 _BUCKETS = 256
@@ -41,11 +43,9 @@ def repeated_words(words: str) -> Column:
     n = F.size(words)
     hashed = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.shiftleft(
         F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)), _PLACE).bitwiseOR(i.cast("long")))
-    same = F.lit(1 << _PLACE)
 
     def close(a: Column, b: Column) -> Column:
-        apart = F.coalesce(a.bitwiseXOR(b), same)
-        return (apart >= 0) & (apart < same)
+        return F.shiftright(a, _PLACE) == F.shiftright(b, _PLACE)
 
     def alike(ordered: Column) -> Column:
         near = F.filter(ordered, lambda x, j: close(x, F.get(ordered, j - 1)) | close(x, F.get(ordered, j + 1)))
@@ -68,14 +68,14 @@ def _run(words: str, i: Column) -> Column:
     return F.struct(F.concat_ws(" ", F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("run"), i.alias("i"))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """The base counts, the words, and the characters of each class (array ``chars``)."""
-    text = docs.select(F.col(id_col).alias("doc_id"), *more, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The base counts, the words, and the characters of each class (array ``chars``, a-z last)."""
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = text.withColumn("words", space_words(F.col("text")))
     named = words.withColumns({name: _matched("text", pattern) for name, pattern in CLASSES.items()} | {
         "n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": _matched("text", SYMBOLS)})
-    return named.select("doc_id", *more, "text", "words", "n_words", "word_chars", "n_symbols", F.array(
+    return named.select("doc_id", "text", "words", "n_words", "word_chars", "n_symbols", F.array(
         *CLASSES, F.col("word_chars") - sum((F.col(c) for c in CLASSES), F.lit(0))).alias("chars"))
 
 
@@ -104,16 +104,19 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     Only the shares and the ``common`` words of each language reach the driver.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.lit(0).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    m = measured(rows, "id", "text", "lang")
-    sums = {r["lang"]: r for r in m.groupBy("lang").agg(
-        F.count("*").alias("docs"), F.sum("n_words").alias("n"),
-        *[F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]).filter("n > 0").orderBy(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    patterns = [*CLASSES.values(), "[a-z]+"]
+    sums = {r["lang"]: r for r in rows.groupBy("lang").agg(
+        F.count("*").alias("docs"), *[F.sum(_matched("text", p)).alias(f"c{i}") for i, p in enumerate(patterns)]).filter(
+        " + ".join(f"c{i}" for i in range(len(patterns))) + " > 0").orderBy(
         F.desc("docs"), "lang").limit(max_languages).collect()}
-    counted = rows.select("lang", F.explode(space_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    top = counted.withColumn("place", F.row_number().over(
+    counted = stored(rows.select("lang", F.explode(space_words(F.col("text"))).alias("word")).groupBy(
+        "lang", "word").count(), "word-counts")
+    first = counted.withColumn("place", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("place") <= common).select(
-        "lang", "word", "count", "place", F.pmod(F.hash("word"), F.lit(_BUCKETS)).alias("bucket")).collect()
+        "lang", "word", "count", "place", F.pmod(F.hash("word"), F.lit(_BUCKETS)).alias("bucket"))
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
+    top = first.collect()
     top = sorted((r for r in top if r["lang"] in sums), key=lambda r: (r["lang"], r["place"]))
     buckets: list[list[str]] = [[] for _ in range(_BUCKETS)]
     for r in top:
@@ -123,7 +126,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     for lang, s in sorted(sums.items()):
         own = [r for r in top if r["lang"] == lang]
         chars = [s[f"c{i}"] for i in range(len(CLASSES) + 1)]
-        shares = [r["count"] / s["n"] for r in own]
+        shares = [r["count"] / totals[lang] for r in own]
         languages.append(Reference(
             lang, [c / max(1, sum(chars)) for c in chars],
             [r["bucket"] + _BUCKETS * (1 + buckets[r["bucket"]].index(r["word"])) for r in own],
@@ -150,8 +153,9 @@ def judge(docs: DataFrame, references: References, id_col: str = "doc_id", text_
     """
     m = measured(docs, id_col, text_col)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_LINE_WORD))
-    m = m.withColumns({"n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-                       "n_repeat_words": repeated_words("words")})
+    m = m.withColumn("lines", lines).withColumns({
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": repeated_words("words")})
     if references.languages:
         table = F.from_json(F.lit(json.dumps(references.buckets)), "array<array<string>>")
         longest = max(len(w) for b in references.buckets for w in b)
