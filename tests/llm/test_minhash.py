@@ -124,3 +124,14 @@ def test_links_are_never_ruled_out():
             if 100 * both >= 75 * (len(a) + len(b) - both):
                 x, y = (minhash.sketches(np.stack([minhash.signature(s, 128)]), [s], banding).view(np.uint64)[0] for s in (a, b))
                 assert minhash.may_link(75, banding, np.int64(len(a)), x, np.int64(len(b)), y)
+
+
+@pytest.mark.parametrize("banding", [Banding(), Banding.tuned(75, 0.999, 48, 512)])
+@pytest.mark.parametrize("both,every", [(3, 4), (6, 8), (9, 12)])
+def test_links_of_short_sets_are_never_ruled_out(banding, both, every):
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        b = np.unique(rng.integers(0, 2**64, every, dtype=np.uint64))
+        a = np.sort(rng.permutation(b)[:both])
+        x, y = (minhash.sketches(np.stack([minhash.signature(s, banding.bins)]), [s], banding).view(np.uint64)[0] for s in (a, b))
+        assert minhash.may_link(75, banding, np.int64(both), x, np.int64(every), y)

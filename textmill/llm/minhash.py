@@ -40,22 +40,10 @@ class Banding:
     def bands(self) -> int:
         return self.bins // self.rows
 
-    @property
-    def signs(self) -> int:
-        """64-bit numbers for two bits of every bin."""
-        return -(-2 * self.bins // 64)
-
     def recall(self, similarity: float) -> float:
         """How likely two sets of this similarity share a bucket."""
         return 1 - (1 - similarity**self.rows) ** self.bands
 
-    def agreement(self, threshold: int) -> int:
-        """Of the two bits of every bin, so many agree in all but one of some 10 million pairs of the
-        similarity: the mean less 5.4 deviations."""
-        s = threshold / 100
-        per_bin = 4 * s + 1.5 * (1 - s) - (1 + s) ** 2
-        return int(self.bins * (1 + s) - 5.4 * (self.bins * per_bin) ** 0.5)
-
     @staticmethod
     def tuned(threshold: int, recall: float, bins: int, marks: int) -> Banding:
         """The longest bands, hence the fewest chance meetings, that reach the recall at
@@ -120,12 +108,10 @@ def band_keys(sigs: np.ndarray, banding: Banding) -> np.ndarray:
 
 
 def sketches(sigs: np.ndarray, sets: list[np.ndarray], banding: Banding) -> np.ndarray:
-    """Two bits of every bin, and then the bits that the members set, as 64-bit numbers."""
-    bits = np.zeros((len(sets), 64 * banding.signs + banding.marks), np.uint8)
-    two = np.stack([sigs & np.uint64(1), (sigs >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8)
-    bits[:, :2 * banding.bins] = two.reshape(len(sets), -1)
+    """For every signature the bits that the members of its set set, as 64-bit numbers."""
+    bits = np.zeros((len(sigs), banding.marks), np.uint8)
     for i, members in enumerate(sets):
-        bits[i, 64 * banding.signs + ((members >> np.uint64(20)) & np.uint64(banding.marks - 1)).astype(np.int64)] = 1
+        bits[i, ((members >> np.uint64(20)) & np.uint64(banding.marks - 1)).astype(np.int64)] = 1
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -133,15 +119,12 @@ def may_link(threshold: int, banding: Banding, n_x: np.ndarray, x: np.ndarray, n
     """False where sizes or sketches rule a link out; arrays of rows, or one row against many.
 
     A bit that only one side has set is a member that the other lacks, which bounds
-    the intersection from above without error; that is the stronger test for all but
-    long texts.
+    the intersection from above without error, so a link is never ruled out.
+    Signatures have no say: in short sets their bins are copies of few members.
     """
-    signs = banding.signs
-    same = 2 * banding.bins - np.bitwise_count(x[..., :signs] ^ y[..., :signs]).sum(axis=-1, dtype=np.int64)
-    marks, others = x[..., signs:], y[..., signs:]
-    most = np.minimum(n_x - np.bitwise_count(marks & ~others).sum(axis=-1, dtype=np.int64),
-                      n_y - np.bitwise_count(others & ~marks).sum(axis=-1, dtype=np.int64))
-    return ((100 * np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y)) & (same >= banding.agreement(threshold))
+    most = np.minimum(n_x - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64),
+                      n_y - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
+    return ((100 * np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y))
             & ((100 + threshold) * most >= threshold * (n_x + n_y)))
 
 
