@@ -5,6 +5,12 @@ collapse first; the others meet in the buckets of their bands, which are tuned f
 recall at the threshold, are compared by the exact Jaccard similarity of their word
 shingles, and form clusters by connected components.  In a cluster that spans
 several documents the first paragraph (smallest document id, then place) stays.
+
+Passages that lines do not bound are found by their runs of words, whatever lines
+these are on: every run of ``length`` words that several documents hold is found,
+and runs that overlap are one passage.  To meet, runs need not be counted all: a run
+is named by the smallest hash of its shorter runs, and only those whose name several
+documents hold go on (winnowing, without loss).
 """
 
 from __future__ import annotations
@@ -14,12 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.minhash import SIGNED, Banding, crowded_buckets, near_links, shingles, signed_columns
 from textmill.llm.tables import stored
-from textmill.llm.words import mix, slices, word_hashes
+from textmill.llm.words import mix, signed, slices, text_bytes, word_hashes, word_spans
 
 RECALL = 0.999
 
@@ -136,3 +142,108 @@ def without_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id",
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_paras", i.cast("long"))), "\n")
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left").withColumn(
         text_col, F.when(F.col("gone_id").isNull(), F.col(text_col)).otherwise(kept)).drop("gone_id", "gone_paras")
+
+
+# -- passages ---------------------------------------------------------------------
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` words in a row; of twice as many from two halves, so log n steps."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        h = mix(h[:-step] * np.uint64(5) ^ h[step:])
+        size += step
+    return h
+
+
+def _windows(texts: pa.Array, length: int) -> tuple:
+    """Row, place, line, hash and anchor of every run of ``length`` words of one text.
+
+    The anchor is the smallest hash of the run's shorter runs; equal runs have equal
+    anchors, and neighbouring runs mostly share theirs.
+    """
+    h, before = word_hashes(texts)
+    whole = _runs(h, length)
+    row = np.repeat(np.arange(len(texts)), np.diff(before))[:len(whole)]
+    at = np.arange(len(whole))
+    keep = np.flatnonzero(at + length <= before[row + 1])
+    if not len(keep):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    short = length // 2 + 1
+    anchor = np.lib.stride_tricks.sliding_window_view(_runs(h, short), length - short + 1).min(axis=1)
+    raw, begins = text_bytes(texts)
+    start = word_spans(raw, begins)[0]
+    ended = np.concatenate([[0], np.cumsum(raw == 10)])
+    row = row[keep]
+    return row, keep - before[row], ended[start[keep]] - ended[begins[row]], whole[keep], anchor[keep]
+
+
+def _anchors(length: int):
+    """Arrow task: (doc_id, text) to the different anchors of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            row, *_, anchor = _windows(b.column(1), length)
+            new = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]).astype(bool) | (np.diff(row, prepend=-1) != 0))
+            yield pa.record_batch([pa.array(signed(anchor[new])), b.column(0).take(pa.array(row[new]))], ["anchor", "doc_id"])
+
+    return run
+
+
+def _anchored(length: int):
+    """Arrow task: (doc_id, text) to its runs, those in a row with one anchor together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            row, place, line, whole, anchor = _windows(b.column(1), length)
+            new = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]).astype(bool) | (np.diff(row, prepend=-1) != 0))
+            cuts = pa.array(np.append(new, len(row)), pa.int32())
+            yield pa.record_batch(
+                [pa.array(signed(anchor[new])), b.column(0).take(pa.array(row[new])), pa.array(place[new]),
+                 pa.ListArray.from_arrays(cuts, pa.array(signed(whole))), pa.ListArray.from_arrays(cuts, pa.array(line))],
+                ["anchor", "doc_id", "start", "hash", "para"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """(doc_id, para, n_words, keeper_doc_id, keeper_para, removed, start, keeper_start): the passages of several documents.
+
+    ``start`` is the number of the first word in the text, from 0, and ``para`` that
+    of its line.  Each run of ``length`` words that two or more documents hold stays
+    in its first place (smallest document id, then place); the runs of a document
+    that overlap or touch and stay in the same other document are one passage, which
+    may be put together from several places there (the first is given).  Rows
+    without id or text have no passage; rows with one id are one document.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    crowded = stored(texts.mapInArrow(_anchors(length), "anchor long, doc_id long").groupBy("anchor").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "anchors")
+    packed = texts.mapInArrow(
+        _anchored(length), "anchor long, doc_id long, start long, hash array<long>, para array<long>").join(
+        crowded, "anchor", "left_semi")
+    runs = stored(packed.select("doc_id", "start", F.posexplode(F.arrays_zip("hash", "para"))).select(
+        "doc_id", (F.col("start") + F.col("pos")).alias("start"), "col.hash", "col.para"), "runs")
+    keepers = stored(runs.groupBy("hash").agg(
+        F.min(F.struct("doc_id", "start", "para")).alias("keeper"), F.max("doc_id").alias("high")).filter(
+        "keeper.doc_id < high").select("hash", "keeper"), "keepers")
+    met = runs.join(keepers, "hash").select(
+        "doc_id", "start", "para", "keeper", F.col("keeper.doc_id").alias("keeper_doc_id"),
+        ((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("start") != F.col("keeper.start"))).alias("removed"))
+    one = ["doc_id", "keeper_doc_id", "removed"]
+    order = Window.partitionBy(*one).orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag("start").over(order) + length, F.lit(True)).cast("long")
+    passages = met.withColumn("new", new).withColumn("passage", F.sum("new").over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return passages.groupBy(*one, "passage").agg(
+        F.min(F.struct("start", "para", "keeper")).alias("first"), F.max("start").alias("last")).select(
+        "doc_id", F.col("first.para").alias("para"), (F.col("last") + length - F.col("first.start")).alias("n_words"),
+        "keeper_doc_id", F.col("first.keeper.para").alias("keeper_para"), "removed", F.col("first.start").alias("start"),
+        F.col("first.keeper.start").alias("keeper_start"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The near copies among paragraphs (``start`` and ``keeper_start`` are null: the whole line), and the repeated passages."""
+    lines = repeated_paragraphs(docs, id_col, text_col).select(
+        "*", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("keeper_start"))
+    return lines.union(repeated_passages(docs, id_col, text_col))

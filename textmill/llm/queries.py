@@ -28,7 +28,7 @@ def op1_distribution_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def op2_repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(read(spark, d, "documents"))
+    return paragraphs.repeats(read(spark, d, "documents"))
 
 
 @register
