@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney model of word pairs.
+"""Interpolated modified Kneser-Ney model of word pairs or triples.
 
 Spark counts; the model is sorted arrays of 64-bit hashes with the counts beside
 them, in files that the scoring tasks map into memory.  All counting is the same
@@ -14,6 +14,10 @@ The probability of w after u is ``(c(uw) - D(c(uw))) / c(u) + g(u) p(w)`` with p
 from the number of different words before w, ``(n(w) - D(n(w))) / n + g p0``, and p0
 the uniform one over the known words and one unknown.  The discounts D follow from
 how many keys were counted once to four times.
+
+With order 3, triples keep their counts, ``p(w|tu)`` discounts these in the same way,
+and pairs count the different words before them instead.  A triple's key is a hash of
+its pair's place among all pairs and of its last word, so it is reversible as well.
 """
 
 from __future__ import annotations
@@ -201,6 +205,15 @@ class Counts:
             count[cuts[s]:cuts[s + 1]], place[cuts[s]:cuts[s + 1]] = c, base + p
         return count, place
 
+    def keys_at(self, place: np.ndarray) -> np.ndarray:
+        """The keys of these places among the keys of all shards."""
+        ends = np.cumsum(self.size)
+        shard, out = np.searchsorted(ends, place, "right"), np.zeros(len(place), np.uint64)
+        for s in np.unique(shard):
+            some = np.flatnonzero(shard == s)
+            out[some] = self.maps[s][0][place[some] - (ends[s] - self.size[s])]
+        return out
+
 
 # -- model --------------------------------------------------------------------------
 
@@ -242,15 +255,21 @@ class KneserNey:
     d_word: np.ndarray
     n_pairs: int
     g_word: float
+    order: int = 2
+    triples: pd.DataFrame | None = None
+    triple_contexts: pd.DataFrame | None = None
+    d_triple: np.ndarray | None = None
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
     @staticmethod
-    def fit(texts: DataFrame, text_col: str = "text") -> KneserNey:
-        """Counts all rows; a null text is an empty one.  There are as many shards as
+    def fit(texts: DataFrame, text_col: str = "text", order: int = 2) -> KneserNey:
+        """A model of pairs (order 2) or triples (3).  Counts all rows; a null text is an empty one.  There are as many shards as
         the input has partitions, so a shard holds about as many keys as a task reads."""
+        if order not in (2, 3):
+            raise ValueError("order must be 2 or 3")
         spark, texts = texts.sparkSession, texts.select(F.col(text_col).alias("text"))
         shards = max(4, min(4096, texts.rdd.getNumPartitions()))
         store, bounds = Store.new(spark, "kneser-ney"), even_bounds(max(4, min(4096, shards)))
@@ -258,7 +277,7 @@ class KneserNey:
         words = texts.mapInArrow(counting(lambda t: tokens(t)[0], bounds), SENT).groupBy("shard").applyInArrow(
             keep_counts(store), FILES).toPandas()
         model = KneserNey(store, shards, words, words[:0], words[:0], int(words["total"].sum()), int(words["size"].sum()),
-                          np.zeros(4), np.zeros(4), 0, 1.0)
+                          np.zeros(4), np.zeros(4), 0, 1.0, order)
 
         def keys(t: pa.Array) -> np.ndarray:
             number, _, before = model.numbered(t)
@@ -269,46 +288,86 @@ class KneserNey:
         model.n_pairs = int(model.pairs["size"].sum())
         model.d_pair = discounts(*model.pairs[["n1", "n2", "n3", "n4"]].sum().tolist())
 
-        # For every word as a context: what follows it, and how many different words come before it.
-        ends = even_bounds(shards, float(model.n_words + FIRST))
-        d_pair = model.d_pair
+        if order == 3:
+            model.triples = texts.mapInArrow(counting(lambda t: model.triple_keys(*model.numbered(t)[::2])[0], bounds), SENT).groupBy(
+                "shard").applyInArrow(keep_counts(store), FILES).toPandas()
+            model.d_triple = discounts(*model.triples[["n1", "n2", "n3", "n4"]].sum().tolist())
+            model.triple_contexts = model._surroundings(spark, model.triples, model._split_triples, model.n_pairs + 1, model.d_triple)
+            # Of pairs, the different words before them count from here on.
+            model.d_pair = discounts(*model.triple_contexts[["n1", "n2", "n3", "n4"]].sum().tolist())
+        model.contexts = model._surroundings(spark, model.pairs, model._split_pairs, model.n_words + FIRST, model.d_pair)
+        n = model.contexts[["n1", "n2", "n3", "n4"]].sum().astype(int).tolist()
+        model.d_word = discounts(*n)
+        more = model.n_words - n[0] - n[1]
+        model.g_word = float(model.d_word[1:] @ [n[0], n[1], more]) / model.n_pairs if model.n_pairs else 1.0
+        return model
+
+    def _split_pairs(self, keys: np.ndarray, count: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+        """Of the pairs of a shard: the word before, how often, the word after, and what it adds to the words before that one."""
+        pair = unmix(keys)
+        if self.order == 3:
+            count = self._context(np.arange(base + 1, base + 1 + len(keys), dtype=np.uint64), "triple_contexts")[2]
+        return pair >> np.uint64(32), count, pair & np.uint64(0xFFFFFFFF), np.ones(len(keys), np.int64)
+
+    def _split_triples(self, keys: np.ndarray, count: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+        """The same of triples, with pairs for words.  No word is before a text's first, so its pair keeps its count."""
+        triple = unmix(keys)
+        context, w = np.divmod(triple, np.uint64(self.n_words + FIRST))
+        u = np.full(len(keys), BEGIN)
+        inner = np.flatnonzero(context > 0)
+        u[inner] = unmix(self._counts("pairs").keys_at(context[inner].astype(np.int64) - 1)) & np.uint64(0xFFFFFFFF)
+        distinct, back = np.unique(mix((u << np.uint64(32)) | w), return_inverse=True)
+        after = (self._counts("pairs").find(distinct)[1] + 1).astype(np.uint64)[back]
+        return context, count, after, np.where(context == 0, count, 1)
+
+    def _surroundings(self, spark: SparkSession, files: pd.DataFrame, split, numbers: int, d: np.ndarray) -> pd.DataFrame:
+        """For every number as a context: what follows it, and how many different words come before it."""
+        store, shards, ends = self.store, self.shards, even_bounds(self.shards, float(numbers))
 
         def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for name_keys, name_low, name_high in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                    pair = unmix(np.asarray(store.map(name_keys, np.uint64)))
+                for name_keys, name_low, name_high, base in zip(*[b.column(i).to_pylist() for i in range(4)]):
                     count = np.asarray(store.map(name_low, np.uint8)).astype(np.int64)
                     high = store.map(name_high, np.int64)
                     count[high[:len(high) // 2]] = high[len(high) // 2:]
-                    zero, one = np.zeros(len(pair), np.int64), np.ones(len(pair), np.int64)
-                    u = added(pair >> np.uint64(32), [count, (count == 1).astype(np.int64), (count == 2).astype(np.int64),
-                                                      (count > 2).astype(np.int64), zero])
-                    w = added(pair & np.uint64(0xFFFFFFFF), [zero, zero, zero, zero, one])
+                    context, count, after, more = split(np.asarray(store.map(name_keys, np.uint64)), count, base)
+                    zero = np.zeros(len(context), np.int64)
+                    u = added(context, [count, (count == 1).astype(np.int64), (count == 2).astype(np.int64),
+                                        (count > 2).astype(np.int64), zero])
+                    w = added(after, [zero, zero, zero, zero, more])
                     yield sent(*added(np.concatenate([u[0], w[0]]), [np.concatenate(x) for x in zip(u[1], w[1])]), ends)
 
         def keep_contexts(group: pa.Table) -> pa.Table:
             shard = group["shard"][0].as_py()
             first = int(ends[shard])
-            size = (int(ends[shard + 1]) if shard + 1 < shards else model.n_words + FIRST) - first
+            size = (int(ends[shard + 1]) if shard + 1 < shards else numbers) - first
             number, sums = gathered(group, 5)
             dense = np.zeros((5, size), np.int64)
             dense[:, (number - np.uint64(first)).astype(np.int64)] = sums
-            back = (d_pair[1:, None] * dense[1:4]).sum(axis=0) / np.maximum(dense[0], 1)
+            back = (d[1:, None] * dense[1:4]).sum(axis=0) / np.maximum(dense[0], 1)
             seen = np.bincount(np.minimum(dense[4], 5), minlength=6)
             return pa.table({"shard": pa.array([shard], pa.int32()), "total": [store.write(dense[0])],
                              "back": [store.write(np.where(dense[0] > 0, back, 1.0).astype(np.float32))],
                              "before": [store.write(dense[4].astype(np.int32))],
                              **{f"n{i}": pa.array([int(seen[i])], pa.int64()) for i in range(1, 5)}})
 
-        listed = spark.createDataFrame(model.pairs[["keys", "low", "high"]], "keys string, low string, high string")
-        model.contexts = listed.repartition(max(1, len(model.pairs))).mapInArrow(around, SENT).groupBy("shard").applyInArrow(
-            keep_contexts, "shard int, total string, back string, before string, n1 long, n2 long, n3 long, n4 long"
-        ).toPandas() if len(model.pairs) else pd.DataFrame(columns=["shard", "total", "back", "before", "n1", "n2", "n3", "n4"])
-        n = model.contexts[["n1", "n2", "n3", "n4"]].sum().astype(int).tolist()
-        model.d_word = discounts(*n)
-        more = model.n_words - n[0] - n[1]
-        model.g_word = float(model.d_word[1:] @ [n[0], n[1], more]) / model.n_pairs if model.n_pairs else 1.0
-        return model
+        if not len(files):
+            return pd.DataFrame(columns=["shard", "total", "back", "before", "n1", "n2", "n3", "n4"])
+        files = files.sort_values("shard")
+        listed = spark.createDataFrame(files[["keys", "low", "high"]].assign(base=files["size"].cumsum() - files["size"]),
+                                       "keys string, low string, high string, base long")
+        return listed.repartition(max(1, len(files))).mapInArrow(around, SENT).groupBy("shard").applyInArrow(
+            keep_contexts, "shard int, total string, back string, before string, n1 long, n2 long, n3 long, n4 long").toPandas()
+
+    def triple_keys(self, number: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every token the key of the triple that ends with it, and its context: 0 before a text,
+        1 and the place of the pair of the words before, -1 where this pair was not counted."""
+        distinct, back = np.unique(pair_keys(number, before), return_inverse=True)
+        count, place = self._counts("pairs").find(distinct)
+        here = np.where(count > 0, place + 1, -1)[back]
+        context = np.concatenate([[0], here[:-1]]) if len(here) else here
+        context[before[:-1]] = 0
+        return mix(np.maximum(context, 0).astype(np.uint64) * np.uint64(self.n_words + FIRST) + number), context
 
     def _counts(self, name: str) -> Counts:
         if name not in self._open:
@@ -323,13 +382,13 @@ class KneserNey:
         number = np.where(count > 0, place + FIRST, int(UNKNOWN)).astype(np.uint64)
         return number[back], count[back], before
 
-    def _context(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _context(self, number: np.ndarray, name: str = "contexts") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What follows, the weight of the shorter context, and what comes before, for sorted numbers."""
-        if "contexts" not in self._open:
-            ends = even_bounds(self.shards, float(self.n_words + FIRST))
-            self._open["contexts"] = ends, {r.shard: (self.store.map(r.total, np.int64), self.store.map(r.back, np.float32),
-                                                      self.store.map(r.before, np.int32)) for r in self.contexts.itertuples()}
-        ends, maps = self._open["contexts"]
+        if name not in self._open:
+            ends = even_bounds(self.shards, float(self.n_words + FIRST if name == "contexts" else self.n_pairs + 1))
+            self._open[name] = ends, {r.shard: (self.store.map(r.total, np.int64), self.store.map(r.back, np.float32),
+                                                self.store.map(r.before, np.int32)) for r in getattr(self, name).itertuples()}
+        ends, maps = self._open[name]
         total, back, before = np.zeros(len(number), np.int64), np.ones(len(number)), np.zeros(len(number), np.int64)
         cuts = np.concatenate([np.searchsorted(number, ends), [len(number)]])
         for s in range(self.shards):
@@ -348,13 +407,29 @@ class KneserNey:
         known, spot = np.unique(np.concatenate([u, w]), return_inverse=True)
         total, weight, earlier = self._context(known)
         u, w = spot[:len(u)], spot[len(u):]
-        seen, _ = self._counts("pairs").find(keys)
+        seen, place = self._counts("pairs").find(keys)
+        if self.order == 3:
+            seen = self._of_places(np.where(seen > 0, place + 1, -1))[2]
         low = self.g_word / (self.n_words + 1)
         if self.n_pairs:
             low = low + (earlier[w] - self.d_word[np.minimum(earlier[w], 3)]) / self.n_pairs
         p = (seen - self.d_pair[np.minimum(seen, 3)]) / np.maximum(total[u], 1) + weight[u] * low
         base = np.log10((count + 0.1) / (self.n_tokens + 0.1 * (self.n_words + 1)))
-        return np.log10(p)[back], base, count, before
+        p = p[back]
+        if self.order == 3:
+            keys, context = self.triple_keys(number, before)
+            distinct, spot = np.unique(keys, return_inverse=True)
+            seen = np.where(context >= 0, self._counts("triples").find(distinct)[0][spot], 0)
+            total, weight, _ = self._of_places(context)
+            p = (seen - self.d_triple[np.minimum(seen, 3)]) / np.maximum(total, 1) + weight * p
+        return np.log10(p), base, count, before
+
+    def _of_places(self, context: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The surroundings of pairs as :meth:`triple_keys` numbers them; of one that was not counted 0, 1 and 0."""
+        known, spot = np.unique(context, return_inverse=True)
+        new = known < 0
+        got = self._context(np.maximum(known, 0).astype(np.uint64), "triple_contexts")
+        return tuple(np.where(new, x, y)[spot] for x, y in zip((0, 1.0, 0), got))
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """(row, n_tokens, n_known, train_tokens, base_score, score); ``row`` is the row as it came.

@@ -108,7 +108,7 @@ FROM capture c LEFT JOIN met m ON m.place = 1 AND c.page_id = m.page_id AND c.ur
 @register
 def op5_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text")
-    model = kneser_ney.KneserNey.fit(docs.filter(~held_out(F.col("doc_id"), 10, 0)))
+    model = kneser_ney.KneserNey.fit(docs.filter(~held_out(F.col("doc_id"), 10, 0)), order=3)
     return model.score(docs).select(
         "row.doc_id", held_out(F.col("row.doc_id"), 10, 0).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score")
