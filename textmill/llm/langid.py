@@ -248,8 +248,8 @@ def _predict(tagger):
 
 
 def fit_languages(rows: DataFrame, label: str = "lang", per_label: int = 300, max_chars: int = 100_000,
-                  max_labels: int = 64) -> LanguageTagger | None:
-    """A tagger from rows of (doc_id, text, label), on a bounded sample; None if there is no label to learn."""
+                  max_labels: int | None = None) -> LanguageTagger | None:
+    """A tagger from rows of (doc_id, text, label), on a bounded sample of every label; None if there is no label to learn."""
     return LanguageTagger.fit(labelled_sample(rows, label, per_label, max_chars, max_labels), label)
 
 

@@ -97,9 +97,8 @@ class References:
     buckets: list[list[str]]
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = 24,
-                        max_languages: int = 32) -> References:
-    """References from all rows with a language, for the most frequent languages.
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = 24) -> References:
+    """References from all rows with a language, for every language whose texts have a word.
 
     Only the shares and the ``common`` words of each language reach the driver.
     """
@@ -107,9 +106,8 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     patterns = [*CLASSES.values(), "[a-z]+"]
     sums = {r["lang"]: r for r in rows.groupBy("lang").agg(
-        F.count("*").alias("docs"), *[F.sum(_matched("text", p)).alias(f"c{i}") for i, p in enumerate(patterns)]).filter(
-        " + ".join(f"c{i}" for i in range(len(patterns))) + " > 0").orderBy(
-        F.desc("docs"), "lang").limit(max_languages).collect()}
+        *[F.sum(_matched("text", p)).alias(f"c{i}") for i, p in enumerate(patterns)]).filter(
+        " + ".join(f"c{i}" for i in range(len(patterns))) + " > 0").collect()}
     counted = stored(rows.select("lang", F.explode(space_words(F.col("text"))).alias("word")).groupBy(
         "lang", "word").count(), "word-counts")
     first = counted.withColumn("place", F.row_number().over(
@@ -134,12 +132,13 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     return References(languages, buckets)
 
 
-def js_distance(counts: Column, total: Column, shares: Sequence[float]) -> Column:
+def js_distance(counts: Column, total: Column, shares: Column | Sequence[float]) -> Column:
     """Jensen-Shannon distance of counts and shares, between 0 and 1."""
     def part(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    terms = F.zip_with(counts, F.array(*map(F.lit, shares)), lambda c, q: part(c / total, (c / total + q) / 2) + part(
+    shares = shares if isinstance(shares, Column) else F.array(*map(F.lit, shares))
+    terms = F.zip_with(counts, shares, lambda c, q: part(c / total, (c / total + q) / 2) + part(
         q, (c / total + q) / 2))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
@@ -174,16 +173,20 @@ def judge(docs: DataFrame, references: References, id_col: str = "doc_id", text_
         m = m.withColumn("counts", F.map_from_arrays(
             F.transform("ends", lambda j: F.get("codes", j - 1)),
             F.transform("ends", lambda j, i: j - F.coalesce(F.get("ends", i - 1), F.lit(0)))))
-        near = []
-        for r in references.languages:
-            own = F.transform(F.array(*map(F.lit, r.codes)), lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)))
+        # One expression for all references, so the plan does not grow with the languages.
+        every = F.from_json(F.lit(json.dumps([vars(r) for r in references.languages])),
+                            "array<struct<language:string,chars:array<double>,codes:array<int>,words:array<double>>>")
+
+        def distances(r: Column) -> Column:
+            own = F.transform(r["codes"], lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)))
             counts = F.transform(F.array(own), lambda x: F.array_append(
                 x, (F.col("n_words") - F.aggregate(x, F.lit(0), lambda s, y: s + y)).cast("int")))[0]
-            near.append(F.struct(
-                js_distance(counts, F.col("n_words"), r.words).alias("word_distance"),
-                js_distance(F.col("chars"), F.col("word_chars"), r.chars).alias("char_distance"),
-                F.lit(r.language).alias("language")))
-        m = m.withColumn("near", F.when(F.col("n_words") > 0, F.array_min(F.array(*near))))
+            return F.struct(
+                js_distance(counts, F.col("n_words"), r["words"]).alias("word_distance"),
+                js_distance(F.col("chars"), F.col("word_chars"), r["chars"]).alias("char_distance"),
+                r["language"].alias("language"))
+
+        m = m.withColumn("near", F.when(F.col("n_words") > 0, F.array_min(F.transform(every, distances))))
     else:
         m = m.withColumn("near", F.lit(None).cast("struct<word_distance:double,char_distance:double,language:string>"))
     enough = {"char_distance": F.col("word_chars") >= min_chars, "word_distance": F.col("n_words") >= min_words}

@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def drawn(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame | None:
-    """Some ``per_label`` rows for each of the most frequent labels; None if there is no label.
+def drawn(rows: DataFrame, label: str, per_label: int, max_labels: int | None) -> DataFrame | None:
+    """Some ``per_label`` rows for each of the most frequent labels, or of all; None if there is no label.
 
     A row is taken if the hash of its id is below the share that its label needs, so
     the choice does not depend on partitions, and only the labels are read to find
     the shares.
     """
-    counts = (rows.filter(F.col(label).isNotNull()).groupBy(label).count()
-              .orderBy(F.desc("count"), label).limit(max_labels).collect())
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = (counts if max_labels is None else counts.limit(max_labels)).collect()
     if not counts:
         return None
     cut = F.lit(None)
@@ -25,7 +25,7 @@ def drawn(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataF
     return rows.filter(draw < cut)
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, max_labels: int) -> pd.DataFrame:
+def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, max_labels: int | None) -> pd.DataFrame:
     """A drawn sample of rows (doc_id, text, label).
 
     Texts of more than ``max_chars`` code points are not taken; together the
@@ -38,7 +38,7 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int,
 
 
 def joined_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int,
-                  max_labels: int) -> pd.DataFrame:
+                  max_labels: int | None) -> pd.DataFrame:
     """The same where the labels (doc_id, label) are a table of their own: labels are
     drawn first, so a table of bounded size is broadcast and no text is moved."""
     taken = drawn(labels, label, per_label, max_labels)
