@@ -11,9 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paths longer than this many parts are matched by their first parts (and so are the entries).
-MAX_PARTS = 8
-
 
 def url_host(url: Column) -> Column:
     """Host in lower case, without user, port and a leading ``www.``; null if the URL has none."""
@@ -27,7 +24,7 @@ def url_patterns(url: Column) -> Column:
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
-    parts = F.slice(F.array_remove(F.split(path, "/"), ""), 1, MAX_PARTS)
+    parts = F.array_remove(F.split(path, "/"), "")
     paths = F.when(F.size(parts) > 0, F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", host, F.array_join(F.slice(parts, F.lit(1), i), "/")))
     ).otherwise(F.array().cast("array<string>"))
