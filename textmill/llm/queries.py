@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontaminate, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, toxicity, urls
+from textmill.llm import (
+    decontaminate, filter_audit, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, toxicity, urls)
 from textmill.llm.tables import read
 from textmill.llm.words import held_out, space_words
 
@@ -192,3 +193,49 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+
+@register
+def op13_filter_orders(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.filter_orders(filter_audit.failed_filters(read(spark, d, "documents"), read(spark, d, "labels")))
+
+
+SQL["op13_filter_orders"] = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+label AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+earliest AS (SELECT text, min(doc_id) AS first_id FROM doc GROUP BY text),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+         {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(d.doc_id > first_id, FALSE)} AS f
+  FROM doc d LEFT JOIN earliest USING (text) LEFT JOIN label USING (doc_id)),
+failing AS (
+  SELECT part, CASE WHEN f.A THEN 'A' ELSE '' END || CASE WHEN f.B THEN 'B' ELSE '' END || CASE WHEN f.C THEN 'C' ELSE '' END
+         || CASE WHEN f.D THEN 'D' ELSE '' END || CASE WHEN f.E THEN 'E' ELSE '' END AS failed,
+         count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM judged GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ordered AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+played AS (
+  SELECT part, filter_order, failed, n, good, bad,
+         list_position(list_transform(string_split(filter_order, ''), lambda l: failed LIKE '%' || l || '%'), TRUE) AS gone_at
+  FROM failing, ordered),
+step AS (SELECT unnest(range(1, 6))::INT AS step),
+counted AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS own,
+         sum(CASE WHEN gone_at IS NULL OR gone_at > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN gone_at = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone_at < step AND failed LIKE '%' || substr(filter_order, step, 1) || '%' THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone_at = step THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN gone_at = step THEN bad ELSE 0 END) AS toxic_lost
+  FROM played, step GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
