@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import (
-    decontaminate, filter_audit, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, toxicity, urls)
+    alignment, decontaminate, filter_audit, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, toxicity, urls)
 from textmill.llm.tables import read
 from textmill.llm.words import held_out, space_words
 
@@ -239,3 +240,13 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM counted
 """
+
+
+#: The tokenizer files of the query; tasks read them by these paths.
+TOKENIZERS = os.environ.get("TEXTMILL_TOKENIZERS", "/opt/tokenizers")
+
+
+@register
+def op12_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return alignment.Alignment.build(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model").of_rows(docs)
