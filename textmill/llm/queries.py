@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import (
-    alignment, decontaminate, filter_audit, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, toxicity, urls)
+    alignment, decontaminate, filter_audit, kneser_ney, langid, lines, minhash, packing, paragraphs, quality, substrings,
+    toxicity, urls)
 from textmill.llm.tables import read
 from textmill.llm.words import held_out, space_words
 
@@ -250,3 +251,10 @@ TOKENIZERS = os.environ.get("TEXTMILL_TOKENIZERS", "/opt/tokenizers")
 def op12_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text")
     return alignment.Alignment.build(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model").of_rows(docs)
+
+
+@register
+def op11_repeated_substrings(spark: SparkSession, d: str) -> DataFrame:
+    left = substrings.without_repeated_substrings(read(spark, d, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
