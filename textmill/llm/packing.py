@@ -80,17 +80,18 @@ def pack_documents(docs: DataFrame, n_tokens: Column, id_col: str = "doc_id", ca
     result.  Rows with the same id are pieces of their own; rows without id are
     packed like others.  The number of shards follows the number of tokens, so a
     shard's size is bounded at every scale; the hash of id and piece deals them out
-    evenly.
+    evenly, and a row without id has a number of its own for that.
     """
     largest = max(capacities)
     sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens.cast("long").alias("n")), "lengths")
-    sized = sized.filter("n > 0")
-    pieces = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {largest}")))).select(
-        "doc_id", F.col("pos").cast("long").alias("piece"),
+    # The table is stored, so the numbers of its rows stay the same.
+    sized = sized.withColumn("name", F.coalesce("doc_id", -1 - F.monotonically_increasing_id())).filter("n > 0")
+    pieces = sized.select("name", "doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {largest}")))).select(
+        "name", "doc_id", F.col("pos").cast("long").alias("piece"),
         F.least(F.lit(largest).cast("long"), F.col("n") - F.col("pos") * largest).alias("n_tokens"))
     total = sized.agg(F.sum(F.expr(f"(n - 1) div {largest} + 1"))).first()[0] or 0
     shards = 1 + int(total) // shard_pieces
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards))).groupBy(
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("name", "piece", "n_tokens"), F.lit(shards))).drop("name").groupBy(
         "shard").applyInArrow(
         _pack_group(tuple(capacities), bin_cost),
         "doc_id long, piece long, n_tokens long, shard long, bin long, bin_offset long, bin_capacity long, bin_used long")
