@@ -52,8 +52,9 @@ def _drawn(*parts: Column | str) -> Column:
 @register
 def op4_temporal_url_lists(spark: SparkSession, d: str) -> DataFrame:
     """Captures are the pages, fetched at a second of a year that their id decides.  The
-    list follows from their hosts: half of the hosts are added and removed three times,
-    and half of the parent domains are added once."""
+    list follows from their URLs: half of the hosts are added and removed three times, half of
+    the parent domains are added once, and so is a quarter of the beginnings of paths, of
+    each page one of any depth."""
     year = 365 * 86400
     pages = read(spark, d, "pages").select("page_id", "url").withColumn(
         "fetched_at", F.pmod(_drawn("fetched", F.col("page_id").cast("string")), F.lit(year)))
@@ -64,9 +65,15 @@ def op4_temporal_url_lists(spark: SparkSession, d: str) -> DataFrame:
     ended = begun.withColumn("at", F.col("at") + 86400 * (20 + _drawn("remove", F.col("pattern"), F.col("k")) % 60))
     parents = hosts.select(F.substring_index("pattern", ".", -2).alias("pattern")).distinct().filter(
         _drawn("parent", F.col("pattern")) % 2 == 0)
+    parts = F.array_remove(F.split(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), "/"), "")
+    paths = pages.select(urls.url_host(F.col("url")).alias("host"), parts.alias("parts"), "url").filter(
+        (F.col("host").isNotNull()) & (F.size("parts") > 0)).select(F.concat_ws("/", "host", F.array_join(F.slice(
+            "parts", F.lit(1), (1 + _drawn("depth", F.col("url")) % F.size("parts")).cast("int")), "/")).alias("pattern")).distinct().filter(
+        _drawn("path", F.col("pattern")) % 4 == 0)
+    once = parents.union(paths)
     entries = begun.select("pattern", F.lit("add").alias("action"), "at").union(
         ended.select("pattern", F.lit("remove"), "at")).union(
-        parents.select("pattern", F.lit("add"), _drawn("add", F.col("pattern"), "once") % year))
+        once.select("pattern", F.lit("add"), _drawn("add", F.col("pattern"), "once") % year))
     return urls.listed_captures(pages, entries).fillna(-1, ["valid_from"])
 
 
@@ -74,18 +81,23 @@ SQL["op4_temporal_url_lists"] = r"""
 WITH page AS (
   SELECT page_id, url, ('0x' || substr(md5('fetched:' || page_id), 1, 8))::BIGINT % 31536000 AS fetched_at,
          regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/:?#]+)', 1), '\.+$', '') AS host,
-         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '')[1:8] AS parts
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
   FROM pages),
 host AS (SELECT DISTINCT host AS pattern FROM page WHERE host <> ''),
 cycle AS (
   SELECT pattern, k, ('0x' || substr(md5('add:' || pattern || ':' || k), 1, 8))::BIGINT % 31536000 AS begun
   FROM host, (SELECT unnest(['0', '1', '2']) AS k) WHERE ('0x' || substr(md5('host:' || pattern), 1, 8))::BIGINT % 2 = 0),
 parent AS (SELECT DISTINCT array_to_string(string_split(pattern, '.')[-2:], '.') AS pattern FROM host),
+path AS (
+  SELECT DISTINCT host || '/' || array_to_string(parts[1:1 + (('0x' || substr(md5('depth:' || url), 1, 8))::BIGINT % len(parts))], '/') AS pattern
+  FROM page WHERE host <> '' AND len(parts) > 0),
+once AS (
+  SELECT pattern FROM parent WHERE ('0x' || substr(md5('parent:' || pattern), 1, 8))::BIGINT % 2 = 0
+  UNION ALL SELECT pattern FROM path WHERE ('0x' || substr(md5('path:' || pattern), 1, 8))::BIGINT % 4 = 0),
 entry AS (
   SELECT pattern, TRUE AS valid, begun AS moment FROM cycle
   UNION ALL SELECT pattern, FALSE, begun + 86400 * (20 + ('0x' || substr(md5('remove:' || pattern || ':' || k), 1, 8))::BIGINT % 60) FROM cycle
-  UNION ALL SELECT pattern, TRUE, ('0x' || substr(md5('add:' || pattern || ':once'), 1, 8))::BIGINT % 31536000 FROM parent
-  WHERE ('0x' || substr(md5('parent:' || pattern), 1, 8))::BIGINT % 2 = 0),
+  UNION ALL SELECT pattern, TRUE, ('0x' || substr(md5('add:' || pattern || ':once'), 1, 8))::BIGINT % 31536000 FROM once),
 at_once AS (SELECT pattern, moment, bool_or(valid) AS valid FROM entry GROUP BY ALL),
 change AS (
   SELECT * FROM (SELECT *, lag(valid, 1, FALSE) OVER (PARTITION BY pattern ORDER BY moment) AS was FROM at_once) WHERE valid <> was),
