@@ -1,5 +1,7 @@
+import random
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,28 @@ def test_near_duplicates_equal_brute_force(spark, tables, threshold):
     assert got == brute_near(rows, threshold)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 4])
+@pytest.mark.parametrize("n, differing", [(3, 1), (40, 6), (300, 33), (300, 70)])
+def test_covering_signatures_agree_in_enough_parts(radius, n, differing):
+    rng = random.Random(n + radius)
+    for _ in range(40):
+        grams = rng.sample(range(10_000), n + differing)
+        cut = rng.randint(0, differing)
+        a, b = np.array(grams[:n + cut]), np.array(grams[:n] + grams[n + cut:])
+        keys_a, part = neardup.covering(np.sort(a), 5, differing, radius)
+        keys_b, _ = neardup.covering(np.sort(b), 5, differing, radius)
+        assert len(set(part[keys_a == keys_b])) >= 1 + neardup._SLACK
+
+
+def test_a_larger_radius_gives_the_same_pairs_from_fewer_candidates(spark, tables):
+    df = spark.read.parquet(f"{tables}/documents.parquet")
+    distinct = neardup.distinct_sets(neardup.gram_sets(df, "doc_id", "text"))
+    pairs = {r: neardup.candidate_pairs(neardup.signatures(distinct, 0.8, r), 0.8).count() for r in (0, 3)}
+    assert pairs[3] < pairs[0]
+    got = [set(map(tuple, neardup.near_duplicates(df, "doc_id", "text", 0.8, r).collect())) for r in (0, 3)]
+    assert got[0] == got[1]
+
+
 def test_sets_with_many_empty_parts_still_meet(spark):
     base = ["ab" * 50, "ab" * 50 + "c", "ab" * 60, "aaaa", "aaaaa", "aaaaab"]
     rows = list(enumerate(base))

@@ -1,18 +1,20 @@
 """Near duplicates: all pairs of texts whose 3-gram sets have Jaccard >= t.
 
 Exact, without comparing all pairs.  Two sets x, y with Jaccard >= t differ in
-at most h = (1-t)/(1+t) * (|x|+|y|) grams.  If the grams are hashed into h+1+s
-parts, the sets agree completely on at least 1+s parts, since every differing
-gram spoils one part only.  So each set emits one signature per part (a hash of
-the grams that fall into it), equal signatures meet in an equi-join, pairs that
-meet too rarely are dropped, and the rest are verified on the full sets.
-This is the partition-based signature scheme of the published set-similarity
-join literature.
+at most h = (1-t)/(1+t) * (|x|+|y|) grams.  The grams are hashed into parts, so
+few that some parts hold at most ``radius`` of the differing grams.  Within a
+part every gram gets a random vector of radius + 1 bits, and each nonzero vector
+v gives a signature of the grams whose vectors are odd with v.  The vectors of
+at most ``radius`` differing grams leave some v that is even with all of them, so
+one signature agrees for sure (covering locality-sensitive hashing, from the
+published literature).  Equal signatures meet in an equi-join, pairs that meet
+in too few parts are dropped, and the rest are verified on the full sets.
 
 Why not an inverted index on single grams: there are only some ten thousand
 3-grams, so its lists grow with the table and the candidates with its square.
-A part holds about eight grams at t = 0.9, and sets that agree on all eight are
-mostly similar.  Before the sets themselves are fetched, a parity sketch (2048
+A signature holds half the grams of a part, and a part more grams the larger
+the radius is; sets that agree on all of these are mostly similar.  Before the
+sets themselves are fetched, a parity sketch (2048
 bits per set) bounds the difference of a pair from below: a bit that differs
 needs a differing gram.  Pairs beyond the allowed difference are dropped, which
 no true match can be.
@@ -24,15 +26,18 @@ text that fills a third of the table is one set here.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import jaccard, text_shingles
 from textmill.session import materialize
 
-_SLACK = 2  # s above
-_EMPTY = -1  # pseudo part shared by sets that leave more than s parts empty
+_SLACK = 2  # parts beyond the first that two partners must agree on
+_RADIUS = 2  # differing grams that a part may hold and still agree
 
 
 def gram_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,48 +76,76 @@ def _size_step(threshold: float) -> float:
     return math.log(1.0 / threshold) + 1e-9
 
 
-def _parts(level: Column, threshold: float) -> Column:
-    """Number of parts at a level, which serves sizes below e^(step*(level+2))."""
-    most = F.exp(F.lit(_size_step(threshold)) * (level + 2))
-    differing = F.floor(F.lit(2 * (1 - threshold) / (1 + threshold)) * most + 1e-6)
-    return (differing + 1 + _SLACK).cast("long")
-
-
-def signatures(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(id, size, upper, empties, level, part, h), one row per set and part.
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers evenly (a public finaliser for random numbers)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _differing(level: int, threshold: float) -> int:
+    """Most grams that partners at a level differ in; it serves sizes below e^(step*(level+2))."""
+    return math.floor(2 * (1 - threshold) / (1 + threshold) * math.exp(_size_step(threshold) * (level + 2)) + 1e-6)
+
+
+def covering(grams: np.ndarray, level: int, differing: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set (64-bit numbers), and the part of each."""
+    radius = min(radius, differing)
+    parts, vectors = differing // (radius + 1) + 1 + _SLACK, 1 << (radius + 1)
+    h = _spread(grams.astype(np.uint64))
+    part = (_spread(h + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+    vector = (_spread(h + np.uint64(2)) & np.uint64(vectors - 1)).astype(np.int64)
+    sums = np.zeros(parts * vectors, np.uint64)
+    np.add.at(sums, part * vectors + vector, h)
+    sums = sums.reshape(parts, vectors)
+    even = sums
+    for bit in range(radius + 1):  # for every v at once: the sums of even vectors less those of odd ones
+        even = even.reshape(parts, -1, 2, 1 << bit)
+        even = np.stack([even[:, :, 0] + even[:, :, 1], even[:, :, 0] - even[:, :, 1]], axis=2)
+    odd = sums.sum(axis=1, keepdims=True) - even.reshape(parts, vectors)
+    name = np.arange(parts * vectors, dtype=np.uint64).reshape(parts, vectors) + (np.uint64(level + (1 << 20)) << np.uint64(32))
+    return _spread(odd ^ _spread(name))[:, 1:].ravel(), np.repeat(np.arange(parts, dtype=np.int32), vectors - 1)
+
+
+def _signing(threshold: float, radius: int):
+    """Arrow task: (id, grams) to the signatures of each set at its levels."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                row, upper, part, key = [], [], [], []
+                for i, grams in enumerate(b.column(1)):
+                    grams = grams.values.to_numpy()
+                    step = math.floor(math.log(len(grams)) / _size_step(threshold))
+                    for above in (0, 1):
+                        most = _differing(step - above, threshold)
+                        if most > 0:  # partners that differ in nothing are equal sets
+                            keys, parts = covering(grams, step - above, most, radius)
+                            row.append(np.full(len(keys), i))
+                            upper.append(np.full(len(keys), above))
+                            part.append(parts)
+                            key.append(keys)
+                if row:
+                    row = np.concatenate(row)
+                    size = np.diff(b.column(1).offsets.to_numpy())
+                    yield pa.record_batch(
+                        [b.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(np.concatenate(upper).astype(bool)),
+                         pa.array(np.concatenate(part)), pa.array(np.concatenate(key).view(np.int64))], ["id", "size", "upper", "part", "key"])
+
+    return run
+
+
+def signatures(distinct: DataFrame, threshold: float, radius: int = _RADIUS) -> DataFrame:
+    """(id, size, upper, part, key), one row per signature; the key names level, part and vector as well.
 
     Sizes fall into geometric steps.  Partners lie in the same or in adjacent
     steps, so a set enters the level of its own step, and as the ``upper``
-    partner the level below.  The input is distributed by ``set_key``, and both
-    aggregations keep that distribution: no shuffle happens here.
+    partner the level below.  A larger radius gives more signatures and fewer
+    candidates.
     """
-    step = F.floor(F.log("size") / F.lit(_size_step(threshold))).cast("long")
-    placed = (
-        distinct.withColumn("step", step)
-        .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
-        .withColumn("level", F.col("step") - F.col("upper").cast("long"))
-        .withColumn("parts", _parts(F.col("level"), threshold))
-    )
-    per_set = ["set_key", "id", "size", "upper", "level", "parts"]
-    per_part = (
-        placed.select(*per_set, F.explode("grams").alias("gram"))
-        .withColumn("part", F.pmod(F.xxhash64("gram"), F.col("parts")))
-        .groupBy(*per_set, "part")
-        .agg(F.bit_xor(F.xxhash64(F.lit("h"), "gram")).alias("h"))
-    )
-    fallback = F.struct(F.lit(_EMPTY).cast("long").alias("part"), F.lit(0).cast("long").alias("h"))
-    listed = (
-        per_part.groupBy(*per_set)
-        .agg(F.collect_list(F.struct("part", "h")).alias("sigs"))
-        .withColumn("empties", F.col("parts") - F.size("sigs"))
-        .withColumn(
-            "sigs",
-            F.when(F.col("empties") > _SLACK, F.concat("sigs", F.array(fallback))).otherwise(
-                F.col("sigs")
-            ),
-        )
-    )
-    return listed.select("id", "size", "upper", "empties", "level", F.inline("sigs"))
+    kind = distinct.schema["id"].dataType.simpleString()
+    return distinct.filter("size > 0").select("id", "grams").mapInArrow(
+        _signing(threshold, radius), f"id {kind}, size int, upper boolean, part int, key long")
 
 
 _SKETCH_WORDS = 32
@@ -158,32 +191,27 @@ def _may_match(a: str, b: str, threshold: float) -> Column:
 
 
 def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (left_id < right_id) that agree on enough parts to be partners."""
+    """Pairs (left_id < right_id) that agree in enough parts to be partners."""
     a, b = sigs.alias("a"), sigs.alias("b")
     low = F.least("a.size", "b.size")
     high = F.greatest("a.size", "b.size")
     met = a.join(
         b,
-        (F.col("a.level") == F.col("b.level"))
-        & (F.col("a.part") == F.col("b.part"))
-        & (F.col("a.h") == F.col("b.h"))
+        (F.col("a.key") == F.col("b.key"))
         & (F.col("a.id") < F.col("b.id"))
         & (low >= threshold * high - 1e-9)
         & ~(F.col("a.upper") & F.col("b.upper")),
     )
     return (
         met.groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
-        .agg(
-            F.sum((F.col("a.part") != _EMPTY).cast("long")).alias("equal"),
-            F.max(F.least("a.empties", "b.empties")).alias("both_empty"),
-        )
-        .filter(F.col("equal") + F.col("both_empty") >= 1 + _SLACK)
+        .agg(F.size(F.collect_set("a.part")).alias("parts"))
+        .filter(F.col("parts") >= 1 + _SLACK)
         .select("left_id", "right_id")
     )
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
+    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, radius: int = _RADIUS
 ) -> DataFrame:
     """(left_id, right_id, similarity).
 
@@ -199,7 +227,7 @@ def near_duplicates(
         raise ValueError("threshold must be in (0, 1]")
     sets = materialize(gram_sets(df, id_col, text_col), "grams")
     distinct = distinct_sets(sets)
-    pairs = candidate_pairs(signatures(distinct, threshold), threshold)
+    pairs = candidate_pairs(signatures(distinct, threshold, radius), threshold)
     outline = sketches(distinct)
     pairs = (
         pairs.join(outline.alias("a"), F.col("left_id") == F.col("a.id"))

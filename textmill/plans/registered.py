@@ -235,23 +235,33 @@ def dedup_normalized(spark, d):
     )
 
 
-@register("near_duplicates", f"""
+def _near_sql(threshold: str) -> str:
+    return f"""
   with g as (select doc_id as id, list_sort({s.shingles('text')}) as grams from documents),
   firsts as (select grams, min(id) as id, len(grams) as size from g group by grams),
   pairs as (
     select a.id as left_id, b.id as right_id, a.size + b.size as total,
       len(list_intersect(a.grams, b.grams)) as common
     from firsts a join firsts b on a.id < b.id
-      and least(a.size, b.size) >= 0.9 * greatest(a.size, b.size) - 1e-9)
+      and least(a.size, b.size) >= {threshold} * greatest(a.size, b.size) - 1e-9)
   select left_id, right_id, round(common::double / (total - common), 6) as similarity
-  from pairs where common::double / (total - common) >= 0.9
+  from pairs where common::double / (total - common) >= {threshold}
   union all
-  select f.id, g.id, 1.0::double from g join firsts f on g.grams = f.grams where g.id > f.id""")
+  select f.id, g.id, 1.0::double from g join firsts f on g.grams = f.grams where g.id > f.id"""
+
+
+@register("near_duplicates", _near_sql("0.9"))
 def near_duplicates(spark, d):
     out = neardup.near_duplicates(documents(spark, d), "doc_id", "text")
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@register("near_duplicates_080", _near_sql("0.8"))
+def near_duplicates_080(spark, d):
+    out = neardup.near_duplicates(documents(spark, d), "doc_id", "text", 0.8)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @register("shingle_profile", f"""
   with g as (select doc_id, {s.shingles('text')} as grams from documents)
   select a.doc_id, len(a.grams)::bigint as n_shingles,
