@@ -17,6 +17,7 @@ from textmill.functions.labels import normalize_label
 from textmill.functions.text import clean_html
 from textmill.operators.clean import clean_corpus, clean_frame, require_columns
 from textmill.operators.dedup import drop_exact_duplicates
+from textmill.sources import quoted
 
 ORDER = ("source_rank", "row_id")
 
@@ -42,41 +43,41 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, id_col: str | None = None, whole_files: bool = False) -> DataFrame:
     """All columns as strings, missing markers as null, and a ``row_id``.
 
-    Quoted fields may span lines, so a file is one split and one task; a large
-    corpus should come in many files.  ``row_id`` numbers the rows by the path of
-    their file and their position, however Spark packs the files into tasks.  A
-    stored id (``id_col``) is used instead where there is one.
+    Quoted fields may span lines; files are read in many tasks nevertheless
+    (:mod:`textmill.sources.quoted`).  Files with stray quotes inside of unquoted
+    fields need ``whole_files``, which makes a file one task.  ``row_id`` numbers the
+    rows by the path of their file and their position, however Spark packs the files
+    into tasks.  A stored id (``id_col``) is used instead where there is one.
     """
     require_path(spark, path)
     columns = csv_header(spark, path)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"')
-        .csv(path)
-    )
+    rows = _whole_files(spark, path, columns) if whole_files else quoted.parsed(quoted.csv_records(spark, path), columns)
     known = rows.select(
-        *([] if id_col else ["_metadata"]),
-        *[F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in columns]
+        "file", "record", *[F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in columns]
     )
     if id_col:
-        return known.withColumn("row_id", F.col(id_col).cast("long"))
-    # The lower 33 bits number the rows of a task, which reads file after file.
-    placed = known.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    files = sorted(rows.inputFiles())
+        return known.drop("file", "record").withColumn("row_id", F.col(id_col).cast("long"))
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
     if len(files) == 1:
-        return placed.drop("_metadata").withColumnRenamed("_place", "row_id")
+        return known.select(*columns, (F.col("record") - 1).alias("row_id"))
     ranks = spark.createDataFrame([(re.sub(":/+", ":/", f), k) for k, f in enumerate(files)], "_file string, _rank long")
     return (
-        placed.withColumn("_file", F.regexp_replace("_metadata.file_path", ":/+", ":/")).join(ranks, "_file", "left")
-        .withColumn("row_id", F.shiftleft("_rank", 33) + F.col("_place"))
-        .select(*columns, "row_id")
+        known.withColumn("_file", F.regexp_replace("file", ":/+", ":/")).join(F.broadcast(ranks), "_file", "left")
+        .select(*columns, (F.shiftleft("_rank", 33) + F.col("record") - 1).alias("row_id"))
     )
 
 
+def _whole_files(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+    # The lower 33 bits number the rows of a task, which reads file after file.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(F.col("_metadata.file_path").alias("file"), (place + 1).alias("record"), *columns)
+
+
 def list_csv_files(spark: SparkSession, directory: str) -> DataFrame:
     """(path, length) of the CSV files in a folder."""
     return (
@@ -90,10 +91,9 @@ def list_csv_files(spark: SparkSession, directory: str) -> DataFrame:
 def read_csv_directory(spark: SparkSession, directory: str) -> DataFrame:
     """All CSV files of a folder with the name of their file."""
     require_path(spark, directory, "Directory")
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
-    return reader.option("pathGlobFilter", "*.csv").csv(directory).withColumn(
-        "source_file", F.col("_metadata.file_name")
-    )
+    columns = spark.read.options(header=True, pathGlobFilter="*.csv").csv(directory).columns
+    rows = quoted.parsed(quoted.csv_records(spark, directory, "*.csv"), columns)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], F.element_at(F.split("file", "/"), -1).alias("source_file"))
 
 
 def canonical(
