@@ -5,7 +5,7 @@ known by a 128-bit digest.  :class:`LineIndex` holds two tables:
 
 * ``counts`` (digest, n_docs, last_doc): the exact reference counts, one row for every
   key; ``refs`` (digest, doc_id) lists who holds it, so that a deletion can be undone
-  to the row.
+  to the row.  Rows of one id are one document; a row without id is one of its own.
 * ``filters`` (shard, slots): a cuckoo filter for each shard of the keys that enough
   documents hold.  A cuckoo filter can forget a key, so a deletion takes keys out
   that fall below the limit.
@@ -13,14 +13,16 @@ known by a 128-bit digest.  :class:`LineIndex` holds two tables:
 Documents are read against the filters; the few lines that pass are looked up in
 the exact counts, so a false positive of a filter costs a lookup and never a line.
 While the filters and the counts of those keys are within a fixed size they go to
-the tasks, and no text is moved; beyond it the lookup is a join.
+the tasks, and no text is moved.  Beyond it tasks map the filters from files, and only the lines
+that pass are joined with the exact counts; what they lose goes back to the rows.
+Insertions and deletions count again only the keys that they touch.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.kneser_ney import Store
+from textmill.llm.substrings import row_key
 from textmill.llm.tables import stored
 from textmill.llm.words import mix
 
@@ -155,6 +159,44 @@ def _keys(min_chars: int):
     return run
 
 
+def _filed(store: Store):
+    """Arrow task: (shard, slots) to the files of the filters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [store.write(np.frombuffer(x.as_buffer(), np.uint16)) for x in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(names, pa.string())], ["shard", "name"])
+
+    return run
+
+
+def _hits(min_chars: int, shards: int, store: Store, files: list[tuple[int, str]]):
+    """Arrow task: (k0, k1, own_id, text) to the different keys of each row that the filters may hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = {s: np.asarray(store.map(name, np.uint16)).reshape(-1, _SLOTS) for s, name in files}
+        for b in batches:
+            digests, rows = [], []
+            for i, text in enumerate(b.column(3)):
+                if text.is_valid:
+                    found = {line_digest(x, min_chars) for x in text.as_buffer().to_pybytes().split(b"\n") if len(x) >= min_chars}
+                    found.discard(None)
+                    digests += found
+                    rows += [i] * len(found)
+            flat = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+            maybe = np.flatnonzero(matches(slots, shards, flat)) if digests else np.zeros(0, np.int64)
+            row = pa.array(np.array(rows, np.int64)[maybe])
+            yield pa.record_batch([*[b.column(k).take(row) for k in range(3)], pa.array([digests[k] for k in maybe], pa.binary())],
+                                  ["k0", "k1", "own_id", "digest"])
+
+    return run
+
+
+def _counted(refs: DataFrame) -> DataFrame:
+    """(digest, n_docs, last_doc): the documents that hold each key."""
+    held = refs.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    return held.groupBy("digest").agg(
+        F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+
+
 def _filter_group(shards: int):
     """Arrow group: the cuckoo filter of one shard's digests."""
     def run(group: pa.Table) -> pa.Table:
@@ -252,17 +294,15 @@ class LineIndex:
     @staticmethod
     def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
               keep_refs: bool = True, shard_keys: int = 1 << 16) -> LineIndex:
-        """The index of a table.  Each row is a document; rows of one id count each.
+        """The index of a table.  Rows of one id are one document, each row without id is one.
 
         Without ``keep_refs`` the table of holders is not stored, and nothing can be
-        removed later.
+        added or removed later.
         """
         keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
             _keys(min_chars), "digest binary, doc_id long")
         refs = stored(keys, "refs") if keep_refs else None
-        counts = stored((refs if keep_refs else keys).groupBy("digest").agg(
-            F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).filter(
-            F.lit(keep_refs) | (F.col("n_docs") >= min_docs)), "counts")
+        counts = stored(_counted(refs if keep_refs else keys).filter(F.lit(keep_refs) | (F.col("n_docs") >= min_docs)), "counts")
         often = counts.filter(F.col("n_docs") >= min_docs)
         shards = 1 + often.count() // shard_keys
         filters = stored(often.select("digest").mapInArrow(
@@ -270,11 +310,14 @@ class LineIndex:
             _filter_group(shards), "shard int, slots binary"), "filters")
         return LineIndex(counts, refs, filters, shards, min_chars, min_docs)
 
-    def _after(self, refs: DataFrame) -> LineIndex:
-        counts = stored(refs.groupBy("digest").agg(
-            F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "counts")
-        was = self.counts.filter(F.col("n_docs") >= self.min_docs).select("digest", F.lit(True).alias("was"))
-        now = counts.filter(F.col("n_docs") >= self.min_docs).select("digest", F.lit(True).alias("now"))
+    def _after(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index with other holders, which differ in the touched keys only."""
+        touched = stored(touched.select("digest").distinct(), "touched")
+        new = stored(_counted(refs.join(touched, "digest", "left_semi")), "counts")
+        counts = self.counts.join(touched, "digest", "left_anti").select("digest", "n_docs", "last_doc").union(new)
+        was = self.counts.join(touched, "digest", "left_semi").filter(F.col("n_docs") >= self.min_docs).select(
+            "digest", F.lit(True).alias("was"))
+        now = new.filter(F.col("n_docs") >= self.min_docs).select("digest", F.lit(True).alias("now"))
         shards = self.shards
         changed = was.join(now, "digest", "full").filter("was is null or now is null").select(
             "digest", F.col("now").isNotNull().alias("up")).mapInArrow(
@@ -292,11 +335,23 @@ class LineIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
             _keys(self.min_chars), "digest binary, doc_id long")
-        return self._after(stored(self.refs.union(keys), "refs"))
+        added = stored(keys, "refs")
+        return self._after(self._held().union(added), added)
 
     def remove(self, doc_ids: DataFrame) -> LineIndex:
         """The index without the documents of the ids (doc_id)."""
-        return self._after(stored(self.refs.join(doc_ids.select("doc_id"), "doc_id", "left_anti"), "refs"))
+        gone = doc_ids.select("doc_id").distinct()
+        return self._after(self._held().join(gone, "doc_id", "left_anti").select("digest", "doc_id"),
+                           self._held().join(gone, "doc_id", "left_semi"))
+
+    def _held(self) -> DataFrame:
+        if self.refs is None:
+            raise ValueError("this index was built without keep_refs, so nothing can be added or removed")
+        return self.refs
+
+    def compacted(self) -> LineIndex:
+        """The same index with its tables written anew, which ends the chain of earlier changes."""
+        return replace(self, counts=stored(self.counts, "counts"), refs=stored(self._held(), "refs"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(row, kept_text, n_lines, n_dropped, kept_sha256); ``row`` is the row of ``docs`` as it came.
@@ -316,8 +371,12 @@ class LineIndex:
                 {r["shard"]: bytes(r["slots"]) for r in self.filters.collect()},
                 np.frombuffer(b"".join(d for d, _ in exact), "S16"), np.array([n for _, n in exact], np.int64)))
             return wide.mapInArrow(_apply_here(self.min_chars, self.shards, shared), schema)
-        keys = wide.select(F.col("own_id").alias("doc_id"), "text").mapInArrow(_keys(self.min_chars), "digest binary, doc_id long")
-        dropped = stored(keys.join(often, "digest").filter("doc_id is null or doc_id < last_doc").groupBy("doc_id").agg(
+        store = Store.new(spark, "line-filters")
+        files = [tuple(r) for r in self.filters.select("shard", "slots").mapInArrow(_filed(store), "shard int, name string").collect()]
+        rows = wide.select("row", "text", "own_id", *row_key(F.col("own_id"), F.col("text")))
+        hits = rows.select("k0", "k1", "own_id", "text").mapInArrow(
+            _hits(self.min_chars, self.shards, store, files), "k0 long, k1 long, own_id long, digest binary")
+        dropped = stored(hits.join(often, "digest").filter("own_id is null or own_id < last_doc").groupBy("k0", "k1").agg(
             F.collect_set("digest").alias("dropped")), "dropped")
-        joined = wide.join(dropped, F.col("own_id").eqNullSafe(F.col("doc_id")), "left").select("row", "text", "dropped")
+        joined = rows.join(dropped, ["k0", "k1"], "left").select("row", "text", "dropped")
         return joined.mapInArrow(_apply_joined(self.min_chars), schema)
