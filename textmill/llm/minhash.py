@@ -185,11 +185,12 @@ def signed_columns(sets: list[np.ndarray], banding: Banding) -> list[pa.Array]:
 
 
 def _signed(width: int, banding: Banding):
-    """Arrow task: (node, text) to the node and its set's size, digest, bands and sketch."""
+    """Arrow task: (node, text, ...) to the node, its set's size, digest, bands and sketch, and the other columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingles(*word_hashes(b.column(1)), width)
-            yield pa.record_batch([b.column(0), *signed_columns(sets, banding)], ["node", "n", "digest", "bands", "sketch"])
+            yield pa.record_batch([b.column(0), *signed_columns(sets, banding), *b.columns[2:]],
+                                  ["node", "n", "digest", "bands", "sketch", *b.schema.names[2:]])
 
     return run
 
@@ -311,27 +312,79 @@ def near_links(nodes: DataFrame, buckets: DataFrame, texts: DataFrame, width: in
     return labels
 
 
+def _digested(width: int):
+    """Arrow task: (node, text) to the digest of its set, and the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = shingles(*word_hashes(b.column(1)), width)
+            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                                   b.column(1)], ["digest", "text"])
+
+    return run
+
+
+def _of_ids_with_several_texts(every: DataFrame, classes: DataFrame, texts: DataFrame, odd: DataFrame, width: int,
+                               ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and texts where some ids have different texts, and the links that these ids make.
+
+    An id names a class of equal sets as long as it has one text.  Classes that such an
+    odd id would name get numbers below 0, and their texts are found by their digests.
+    """
+    named = classes.filter("node is not null")
+    renamed = stored(named.join(odd, "node", "left_semi").withColumn("node", -1 - F.monotonically_increasing_id()), "renamed")
+    nodes = stored(named.join(odd, "node", "left_anti").unionByName(renamed), "nodes")
+    theirs = texts.select("node", "text").join(odd, "node", "left_semi").mapInArrow(_digested(width), "digest binary, text string").join(
+        renamed.select("digest", "node"), "digest").select("node", "text").dropDuplicates(["node"])
+    read = texts.filter("node is not null").join(odd, "node", "left_anti").select("node", "text").union(theirs)
+    held = every.filter("digest is not null").join(odd, "node", "left_semi").select(F.col("node").alias("id"), "digest").distinct().join(
+        nodes.select("digest", "node"), "digest").select("id", "node")
+    links = held.join(held.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
+    return nodes, read, links
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 75,
+            banding: Banding = Banding(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(node, n, digest, component, *carry) for every row; ``node`` is the id, ``carry`` columns of ``docs``.
+
+    ``digest`` is that of the row's set, null if it is empty; ``component`` the
+    smallest id that can be reached, null if the class of equal sets has no id.  Rows
+    with one id are linked with each other, whatever their texts are.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    kinds = ", ".join(f"carry_{c} {texts.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
+    every = stored(texts.mapInArrow(_signed(width, banding), f"node long, {SIGNED}" + (f", {kinds}" if carry else "")), "sets")
+    classes = stored(
+        every.filter("digest is not null").groupBy("digest").agg(
+            F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch")), "classes")
+    odd = stored(every.filter("digest is not null and node is not null").groupBy("node").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("node"), "odd-ids")
+    if odd.isEmpty():
+        nodes = classes.filter("node is not null")
+        near = near_links(nodes, crowded_buckets(nodes), texts.filter("node is not null"), width, threshold, banding)
+        first = F.coalesce("component", "node")
+    else:
+        nodes, read, links = _of_ids_with_several_texts(every, classes, texts, odd, width)
+        near = near_links(nodes, crowded_buckets(nodes), read, width, threshold, banding)
+        near = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        label = nodes.select("digest", "node").join(near, "node", "left").select("digest", F.coalesce("component", "node").alias("label"))
+        near = label.join(classes.select("digest", F.col("node").alias("id")), "digest").groupBy("label").agg(
+            F.min("id").alias("component")).join(label, "label").join(nodes.select("digest", "node"), "digest").select("node", "component")
+        first = F.col("component")
+    component = nodes.select("digest", "node").join(near, "node", "left").select("digest", first.alias("component"))
+    return every.join(component, "digest", "left").select(
+        "node", "n", "digest", F.coalesce("component", "node").alias("component"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     threshold: int = 75, banding: Banding = Banding()) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
     A null or empty text has no shingle and is its own component.  Rows with the
-    same id are one node; a row without id belongs to the component of equal sets,
+    same id belong together, even if their texts differ; a row without id belongs to the component of equal sets,
     if one has an id, and else has no component (kept: an id-less row is kept only
     then).  A repeated row gives a repeated result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    every = stored(signed_sets(texts, width, banding), "sets")
-    classes = stored(
-        every.filter("digest is not null").groupBy("digest").agg(
-            F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch")), "classes")
-    nodes = classes.filter("node is not null").dropDuplicates(["node"])
-    near = near_links(nodes, crowded_buckets(nodes), texts.filter("node is not null"), width, threshold, banding)
-    named = classes.select("digest", F.col("node").alias("first")).join(
-        near.withColumnRenamed("node", "first"), "first", "left").select(
-        "digest", F.coalesce("component", "first").alias("component"))
-    return every.join(named, "digest", "left").select(
-        F.col("node").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "node").alias("component_id"),
-        F.coalesce(F.col("node") == F.coalesce("component", "node"), F.col("component").isNull()).alias("kept"))
+    return grouped(docs, id_col, text_col, width, threshold, banding).select(
+        F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.coalesce(F.col("node") == F.col("component"), F.col("component").isNull()).alias("kept"))
