@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import decontaminate, langid, lines, minhash, packing
+from textmill.llm.substrings import row_key
 from textmill.llm.tables import read, stored
 from textmill.llm.words import held_out
 
@@ -43,16 +44,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    keep = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    """One document of each group of near duplicates stays, that of the smallest id; of
+    rows that are equal in id and text, one.  Rows without a word are no duplicates."""
+    rows = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
+    groups = stored(minhash.grouped(rows, carry=("k0", "k1")), "groups")
+    name = F.coalesce(F.col("component").cast("string"), F.hex("digest"))
+    first = F.min(F.struct(F.col("node").isNull().alias("no_id"), "node", "k0", "k1"))
+    keep = groups.filter("digest is not null").groupBy(name.alias("name")).agg(first.alias("first")).select("first.k0", "first.k1")
+    without_words = groups.filter("digest is null").select("k0", "k1").distinct()
+    one_each = rows.join(keep, ["k0", "k1"], "left_semi").dropDuplicates(["k0", "k1"])
+    return one_each.union(rows.join(without_words, ["k0", "k1"], "left_semi")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate stay."""
-    bad = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")).filter("contaminated").select(
-        F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """Documents that the benchmark does not contaminate stay.  The verdict is one on the
+    text, so it is joined by the text, whatever the ids are."""
+    name = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(name.alias("doc_id"), "text")
+    bad = decontaminate.find_contamination(texts, read(spark, sf_dir, "benchmark")).filter("contaminated").select(
+        F.col("doc_id").alias("bad_text")).distinct()
+    return docs.join(bad, name == bad["bad_text"], "left_anti")
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
