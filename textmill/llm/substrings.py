@@ -10,7 +10,8 @@ equal anchors, and neighbouring windows mostly share theirs, so a text is a row
 Anchors that occur once go first, as 64-bit numbers.  Equal pieces of an anchor
 collapse and repeat all their windows.  Where an anchor has several different pieces, or
 one that may repeat itself, the bytes of one occurrence of each are sent to a task by the hash of the anchor, and
-the suffix array of all pieces of that task (:mod:`grouping`) decides their windows.  An anchor
+the suffix array of all pieces of that task (:mod:`grouping`) decides their windows;
+only pieces without any two windows of equal hash are left out of it.  An anchor
 whose pieces are too many bytes for one task is decided by 128-bit digests of its
 windows, spread over the tasks.  Nothing is left out.
 """
@@ -36,12 +37,13 @@ _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED))
 
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` values in a row, of twice as many from two halves."""
-    size = 1
+    size, odd = 1, 0x9E3779B97F4A7C15
     while size < n:
         step = min(size, n - size)
-        h = mix(h[:-step] * np.uint64(5) ^ h[step:])
+        h = h[:-step] * np.uint64(odd) + h[step:]
+        odd = odd * odd % (1 << 64)
         size += step
-    return h
+    return mix(h)
 
 
 def _lowest(x: np.ndarray, n: int) -> np.ndarray:
@@ -62,20 +64,22 @@ def pieces(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.
         return none
     grams = _runs(_BYTE[raw], gram)
     anchor = _lowest(grams, length - gram + 1)
-    text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))[:len(anchor)]
-    start = np.flatnonzero(np.arange(len(anchor)) + length <= at[text + 1])
-    if not len(start):
+    inside, new = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):  # no window goes on into the next text
+        inside[max(a, b - length + 1):b] = False
+        new[a:a + 1] = True
+    begin = np.flatnonzero(new & inside)
+    if not len(begin):
         return none
-    anchor, text = anchor[start], text[start].astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    n = np.diff(np.append(new, len(start)))
-    begin = start[new]
-    twice = (n > 1) & (np.minimum.reduceat(grams, np.stack([begin, begin + n - 1], axis=1).ravel())[::2] == anchor[new])
+    text = np.searchsorted(at, begin, "right") - 1
+    n = np.minimum(np.append(begin[1:], len(anchor)), at[text + 1] - length + 1) - begin
+    twice = (n > 1) & (np.minimum.reduceat(grams, np.stack([begin, begin + n - 1], axis=1).ravel())[::2] == anchor[begin])
     parts = -(-n // _LONGEST)
-    first = np.repeat(new, parts)
-    k = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
-    first, n = first + k * _LONGEST, np.minimum(np.repeat(n, parts) - k * _LONGEST, _LONGEST)
-    return text[first], start[first] - at[text[first]], n, anchor[first], np.repeat(twice, parts)
+    start, text = np.repeat(begin - at[text], parts), np.repeat(text, parts)
+    k = np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)
+    n = np.minimum(np.repeat(n, parts) - k * _LONGEST, _LONGEST)
+    return text, start + k * _LONGEST, n, np.repeat(anchor[begin], parts), np.repeat(twice, parts)
 
 
 _PIECE = "anchor long, piece long, k0 long, k1 long, start int, windows int, twice boolean"
@@ -140,6 +144,18 @@ def repeated_windows(data: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[x:y]) for x, y in zip(begins, ends)]
 
 
+def may_repeat(data: list[bytes], length: int) -> np.ndarray:
+    """The pieces that have a window whose hash two windows have; no other holds a repeated window."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    h = _runs(_BYTE[np.frombuffer(b"".join(data), np.uint8)], length)
+    piece = np.repeat(np.arange(len(data), dtype=np.int32), np.diff(at))[:len(h)]
+    own = np.flatnonzero(np.arange(len(h)) + length <= at[piece + 1])
+    h, piece = h[own], piece[own]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    return np.unique(piece[np.concatenate([order[1:][same], order[:-1][same]])])
+
+
 def _spans(at: np.ndarray) -> tuple[list[int], list[int]]:
     """Where runs of neighbouring numbers begin and end."""
     new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
@@ -152,8 +168,8 @@ _DECIDED = "anchor long, piece long, windows int, low array<int>, high array<int
 def _decided(length: int):
     """Arrow group: the pieces of some anchors to the runs of repeated windows of those that occur once."""
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        found = repeated_windows(group["data"].to_pylist(), length)
+        group = group.take(pa.array(may_repeat(group["data"].to_pylist(), length)))
+        found = repeated_windows(group["data"].to_pylist(), length) if group.num_rows else []
         rows = [i for i, (x, alone) in enumerate(zip(found, group["alone"].to_pylist())) if alone and len(x)]
         spans = [_spans(found[i]) for i in rows]
         took = group.select(["anchor", "piece", "windows"]).take(pa.array(rows, pa.int64()))
@@ -166,7 +182,7 @@ def _decided(length: int):
 def _windows_of(length: int):
     """Arrow task: pieces to the digests of all their windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             n = b.column(2).to_numpy()
             row = pa.array(np.repeat(np.arange(b.num_rows), n))
             digest = [xxhash.xxh3_128_digest(x[k:k + length]) for x, m in zip(b.column(4).to_pylist(), n.tolist()) for k in range(m)]
@@ -226,8 +242,8 @@ def covered_bytes(texts: DataFrame, length: int = 200, gram: int = 32, task_byte
     kinds = stored(live.groupBy(*one).agg(F.count("*").alias("n"), F.min(F.struct("k0", "k1", "start")).alias("at"),
         F.max("twice").alias("twice")), "kinds")
     several = kinds.groupBy("anchor").agg(
-        F.count("*").alias("kinds"), F.max("twice").alias("twice"), F.sum(F.col("windows") + length).alias("bytes")).filter(
-        "kinds > 1 or twice").select(
+        F.count("*").alias("kinds"), F.max("twice").alias("twice"), F.min("n").alias("least"),
+        F.sum(F.col("windows") + length).alias("bytes")).filter("least = 1 and (kinds > 1 or twice)").select(
         "anchor", (F.col("bytes") > anchor_bytes).alias("wide"))
     open_ = kinds.join(several, "anchor").select("at.*", *one, (F.col("n") == 1).alias("alone"), "wide")
     wanted = open_.groupBy("k0", "k1").agg(F.collect_list(F.struct("anchor", "piece", "start", "windows", "alone", "wide")).alias("wanted"))
