@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.labels import detect_mislabel, is_leaf, normalize_label
@@ -100,14 +100,49 @@ def clean_texts(
     return out
 
 
-@dataclass(frozen=True)
 class CleanCorpus:
-    """``kept`` rows, ``audit`` of the removed ones and one row of ``stats``."""
+    """``kept`` rows, ``audit`` of the removed ones and one row of ``stats``.
 
-    kept: DataFrame
-    audit: DataFrame
-    stats: DataFrame
-    unknown: DataFrame
+    All of them read one stored table of the tagged rows, and what counts say is told
+    from the counts of its labels, a small table; the corpus itself was read once.
+    """
+
+    def __init__(self, tagged: DataFrame, per_label: DataFrame, columns: Sequence[str], text_col: str, id_col: str,
+                 label_col: str, order: Sequence[str], remove_duplicates: bool):
+        self._per_label, self._label_col = per_label, label_col
+        common = tagged.filter("_reason is null and not _unlabelled").select(*columns, "normalized_label")
+        #: The rows that stay.
+        self.kept = drop_exact_duplicates(common, text_col, order) if remove_duplicates else common
+        #: (row_id, label, reason) of the rows that go for their label.
+        self.audit = tagged.filter("_reason is not null").select(
+            F.col(id_col).alias("row_id"),
+            F.when(F.col("_suggested").isNotNull(), F.col(label_col)).otherwise(F.col("normalized_label")).alias("label"),
+            F.col("_reason").alias("reason"),
+        )
+        self.unknown = self.kept.select(F.col("normalized_label").alias("label")).distinct().filter(~is_leaf("label"))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """Counts of each stage.  Only what duplicates leave is counted over rows."""
+        names = ["original_count", "removed_mislabeled", "removed_rare", "after_rare", "labels_before"]
+        before = self._per_label.agg(
+            F.sum("n").alias("original_count"), F.sum("n_mislabeled").alias("removed_mislabeled"),
+            F.sum(F.when(F.col("_rare") & ~F.col("_unlabelled"), F.col("n_credible")).otherwise(0)).alias("removed_rare"),
+            F.sum(F.when(~F.col("_rare") & ~F.col("_unlabelled"), F.col("n_credible")).otherwise(0)).alias("after_rare"),
+            F.count_distinct(self._label_col).alias("labels_before"))
+        # One row for each label that is left, then one row.
+        after = self.kept.groupBy("normalized_label").agg(F.count("*").alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("final_count"), F.count("normalized_label").alias("labels_after"))
+        both = before.select(*[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names]).crossJoin(after)
+        return both.select(
+            "original_count",
+            "removed_mislabeled",
+            F.col("removed_rare").alias("removed_rare_labels"),
+            (F.col("after_rare") - F.col("final_count")).alias("removed_duplicates"),
+            "final_count",
+            "labels_before",
+            "labels_after",
+        )
 
 
 def clean_corpus(
@@ -125,92 +160,23 @@ def clean_corpus(
 
     Label counts are taken after the mislabelled rows are gone and before
     duplicates are, so a label that is kept may end with fewer rows than the
-    minimum.  The counts (one row per label) are stored first, so the planner knows
-    their size before it plans the join, and does not shuffle the texts by label.
+    minimum.  Where rare labels go, rows without a label go as well, unaudited.  One pass judges the rows and stores them; the counts (one row per pair of
+    a label and its normal form) are taken from the stored labels, and tag the rows as
+    a table of known size, so texts are not shuffled by label.
     """
     order = list(order or [id_col])
     suggested = (
         detect_mislabel(text_col, label_col) if remove_mislabeled else F.lit(None).cast("string")
     )
-    judged = add_normalized_label(df, label_col, "normalized_label").withColumn(
-        "_suggested", suggested
-    )
-    credible = judged.filter(F.col("_suggested").isNull())
-    if remove_rare_labels:
-        counts = materialize(credible.groupBy("normalized_label").agg(
-            (F.count("*") < min_rows_per_label).alias("_rare")
-        ), "label-counts")
-        sized = credible.join(counts, "normalized_label")
-    else:
-        sized = credible.withColumn("_rare", F.lit(False))
-    common = sized.filter(~F.col("_rare")).select(*df.columns, "normalized_label")
-    kept = drop_exact_duplicates(common, text_col, order) if remove_duplicates else common
-
-    audit = (
-        judged.filter(F.col("_suggested").isNotNull())
-        .select(
-            F.col(id_col).alias("row_id"),
-            F.col(label_col).alias("label"),
-            F.concat(F.lit("mislabeled, suggested: "), F.col("_suggested")).alias("reason"),
-        )
-        .unionByName(
-            sized.filter("_rare").select(
-                F.col(id_col).alias("row_id"),
-                F.col("normalized_label").alias("label"),
-                F.lit("tiny category").alias("reason"),
-            )
-        )
-    )
-    unknown = kept.select(F.col("normalized_label").alias("label")).distinct()
-    return CleanCorpus(
-        kept=kept,
-        audit=audit,
-        stats=_cleaning_stats(judged, sized, kept, label_col),
-        unknown=unknown.filter(~is_leaf("label")),
-    )
-
-
-def _cleaning_stats(
-    judged: DataFrame, sized: DataFrame, kept: DataFrame, label_col: str
-) -> DataFrame:
-    """Counts of each stage.  The stages are three one-row results, added up."""
-    names = ["original_count", "removed_mislabeled", "removed_rare", "after_rare",
-             "final_count", "labels_before", "labels_after"]
-
-    def row(frame: DataFrame, **aggs) -> DataFrame:
-        return frame.agg(
-            *[aggs.get(n, F.lit(0)).cast("long").alias(n) for n in names]
-        )
-
-    stages = (
-        row(
-            judged,
-            original_count=F.count("*"),
-            removed_mislabeled=F.count("_suggested"),
-            labels_before=F.count_distinct(label_col),
-        )
-        .unionByName(
-            row(
-                sized,
-                removed_rare=F.count(F.when(F.col("_rare"), 1)),
-                after_rare=F.count(F.when(~F.col("_rare"), 1)),
-            )
-        )
-        .unionByName(
-            row(
-                kept,
-                final_count=F.count("*"),
-                labels_after=F.count_distinct("normalized_label"),
-            )
-        )
-        .agg(*[F.sum(n).alias(n) for n in names])
-    )
-    return stages.select(
-        "original_count",
-        "removed_mislabeled",
-        F.col("removed_rare").alias("removed_rare_labels"),
-        (F.col("after_rare") - F.col("final_count")).alias("removed_duplicates"),
-        "final_count",
-        "labels_before",
-        "labels_after",
-    )
+    judged = materialize(add_normalized_label(df, label_col, "normalized_label").withColumn("_suggested", suggested), "judged")
+    per_pair = judged.groupBy(F.col(label_col), "normalized_label").agg(
+        F.count("*").alias("n"), F.count("_suggested").alias("n_mislabeled"))
+    credible = F.sum(F.col("n") - F.col("n_mislabeled")).over(Window.partitionBy("normalized_label"))
+    unlabelled = F.col("normalized_label").isNull() & F.lit(remove_rare_labels)
+    per_label = materialize(per_pair.withColumn("_unlabelled", unlabelled).withColumn("n_credible", F.col("n") - F.col("n_mislabeled")).withColumn(
+        "_rare", (credible < min_rows_per_label) & F.lit(remove_rare_labels)), "label-counts")
+    rare = materialize(per_label.filter("_rare and normalized_label is not null").select(F.col("normalized_label").alias("_label")).distinct(), "rare-labels")
+    tagged = judged.join(rare, F.col("normalized_label") == F.col("_label"), "left").withColumn("_unlabelled", unlabelled).withColumn(
+        "_reason", F.when(F.col("_suggested").isNotNull(), F.concat(F.lit("mislabeled, suggested: "), F.col("_suggested"))).when(
+            F.col("_label").isNotNull(), F.lit("tiny category")))
+    return CleanCorpus(tagged, per_label, df.columns, text_col, id_col, label_col, order, remove_duplicates)
