@@ -91,7 +91,49 @@ def test_sums_survive_packing():
     keys, (counts,) = kn.added(rng.integers(0, 2**64, 1000, dtype=np.uint64), [np.arange(1000)])
     again, (c,) = kn.unpacked(kn.packed(keys, [counts]), 1)
     assert (again == keys).all() and (c == counts).all()
-    assert (kn.unmix(kn.mix(keys)) == keys).all()
+
+
+@pytest.mark.parametrize("bits", [1, 2, 7, 16, 33, 45, 63, 64])
+def test_scrambling_is_one_to_one(bits):
+    x = np.unique(np.random.default_rng(2).integers(0, 2**bits, 4000, dtype=np.uint64)) if bits > 12 else np.arange(1 << bits, dtype=np.uint64)
+    y = kn.scramble(x, bits)
+    assert len(np.unique(y)) == len(x) and int(y.max()) < 1 << bits and (kn.unscramble(y, bits) == x).all()
+
+
+def test_merging_in_any_order():
+    rng = np.random.default_rng(3)
+    parts = [kn.added(rng.integers(0, 500, n).astype(np.uint64), [np.ones(n, np.int64), rng.integers(0, 9, n)]) for n in (900, 5, 60, 60, 1, 400)]
+    m = kn.Merged(2)
+    for k, c in parts:
+        m.add(kn.packed(k, c))
+    keys, columns = m.sums()
+    want, sums = kn.added(np.concatenate([k for k, _ in parts]), [np.concatenate(c) for c in zip(*[c for _, c in parts])])
+    assert (keys == want).all() and all((a == b).all() for a, b in zip(columns, sums))
+    assert len(kn.Merged(2).sums()[0]) == 0
+
+
+def test_keys_of_a_shard_in_blocks(tmp_path):
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**40, 60_000), rng.integers(0, 2**33, 20_000)]).astype(np.uint64))
+    counts = rng.integers(1, 400, len(keys))
+    store, bounds = kn.Store(f"file://{tmp_path}"), kn.even_bounds(4, 2.0**40)
+    files = []
+    for s, part in enumerate(np.split(np.arange(len(keys)), np.searchsorted(keys, bounds[1:]))):
+        batch = kn.sent(keys[part], [counts[part]], bounds)
+        files += [b.to_pandas() for b in kn.keep_counts(store, bounds, 2.0**40)(iter([batch]))]
+    assert all(f["blocks"][0] for f in files)
+    found = kn.Counts(kn.pd.concat(files), bounds, store)
+    asked = np.unique(np.concatenate([keys[::3], rng.integers(0, 2**40, 5000).astype(np.uint64)]))
+    got, place = found.find(asked)
+    want = dict(zip(keys.tolist(), counts.tolist()))
+    assert got.tolist() == [want.get(k, 0) for k in asked.tolist()]
+    there = got > 0
+    assert (keys[place[there]] == asked[there]).all() and (found.keys_at(place[there]) == asked[there]).all()
+
+
+def test_too_many_numbers_raise():
+    with pytest.raises(OverflowError):
+        kn.KneserNey._fits(65)
 
 
 def test_high_counts_are_exact(spark):
