@@ -352,9 +352,8 @@ def _constant(values: Sequence, kind: str) -> Column:
 
 
 def unpack_vector(vector: Column | str) -> Column:
-    """Sparse ML vector -> struct (type, size, indices, values), inside the JVM."""
-    schema = T.StructType([T.StructField("v", _VECTOR_JSON)])
-    return F.from_json(F.to_json(F.struct(col(vector).alias("v"))), schema)["v"]
+    """Sparse ML vector -> struct (type, size, indices, values): the same bytes, seen as a struct."""
+    return F.unwrap_udt(col(vector))
 
 
 def pack_vector(indices: Column | str, values: Column | str, size: int) -> Column:
