@@ -59,3 +59,24 @@ def test_passages_equal_brute_force(spark):
     got = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows)
     assert covered(got) == want and len(want) > 20
+
+
+def test_passages_are_cut_out_of_their_lines(spark):
+    passage = [f"p{i}" for i in range(60)]
+    first = "begin here " + " ".join(passage[:30]) + "\n" + " ".join(passage[30:]) + " and end"
+    second = "own words stand before " + " ".join(passage[:25]) + "\n" + " ".join(passage[25:]) + " own words behind\nlast line"
+    docs = spark.createDataFrame([(1, first, 7), (2, second, 8), (3, None, 9), (None, second, 9), (4, "", 1)], "doc_id long, text string, n long")
+    left = paragraphs.without_repeats(docs, paragraphs.repeated_passages(docs)
+                                      .select("doc_id", "para", "n_words", "removed", "start"))
+    assert left.columns == docs.columns
+    got = {r.doc_id: (r.text, r.n) for r in left.collect()}
+    assert got == {1: (first, 7), 2: ("own words stand before  own words behind\nlast line", 8), 3: (None, 9), None: (second, 9), 4: ("", 1)}
+
+
+def test_cuts_of_lines_and_ranges():
+    raw = b"a b c\nd e\nf\n g h"
+    assert paragraphs._cut(raw, {1}, []) == b"a b c\nf\n g h"
+    assert paragraphs._cut(raw, {2, 3}, []) == b"a b c\nd e"
+    assert paragraphs._cut(raw, {0, 1, 2, 3}, []) == b""
+    assert paragraphs._cut(raw, set(), [(1, 4)]) == b"a  e\nf\n g h"
+    assert paragraphs._cut(raw, {0}, [(5, 7)]) == b"d e\n h"

@@ -135,13 +135,50 @@ def _digests(width: int, min_words: int):
     return run
 
 
+def _cut(raw: bytes, lines: set[int], ranges: list[tuple[int, int]]) -> bytes:
+    """The text without some lines, and without the bytes from the first to the last word of some ranges of words."""
+    data = np.frombuffer(raw, np.uint8)
+    start, end, _ = word_spans(data, np.array([0, len(data)]))
+    gone = np.zeros(len(data) + 1, bool)
+    for first, last in ranges:
+        gone[start[first]:end[last - 1]] = True
+    out, at, joined = [], 0, True
+    for k, line in enumerate(raw.split(b"\n")):
+        if k not in lines:
+            out.append((b"" if joined else b"\n") + bytes(data[at:at + len(line)][~gone[at:at + len(line)]]))
+            joined = False
+        joined = joined or bool(gone[at + len(line)])  # a range that goes on over the line's end takes it along
+        at += len(line) + 1
+    return b"".join(out)
+
+
+def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow task: (row, text, gone) to the row and what is left of the text."""
+    for b in batches:
+        texts = []
+        for text, gone in zip(b.column(1), b.column(2)):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else None
+            if raw is not None and gone.is_valid:
+                spans = gone.as_py()
+                raw = _cut(raw, {g["para"] for g in spans if g["start"] is None},
+                           [(g["start"], g["start"] + g["n_words"]) for g in spans if g["start"] is not None])
+            texts.append(raw)
+        yield pa.record_batch([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "text"])
+
+
 def without_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed paragraphs taken out of the text."""
-    gone = repeats.filter("removed").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("para").alias("gone_paras"))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_paras", i.cast("long"))), "\n")
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left").withColumn(
-        text_col, F.when(F.col("gone_id").isNull(), F.col(text_col)).otherwise(kept)).drop("gone_id", "gone_paras")
+    """``docs`` with what was removed taken out of the text: whole lines of the rows of
+    ``repeats`` without ``start`` (or all, if it has no such column), and of the others their words, with what stands between them.
+
+    Rows without id, and null and empty texts, stay as they are; the rows of an id are cut alike.
+    """
+    start = F.col("start") if "start" in repeats.columns else F.lit(None).cast("long").alias("start")
+    gone = repeats.filter("removed").groupBy(F.col("doc_id").alias("gone_id")).agg(
+        F.collect_set(F.struct("para", start, "n_words")).alias("gone"))
+    wide = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("own_id")).join(
+        gone, F.col("own_id") == F.col("gone_id"), "left").select("row", "text", "gone")
+    cut = wide.mapInArrow(_cutting, f"row {wide.schema['row'].dataType.simpleString()}, text string")
+    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 # -- passages ---------------------------------------------------------------------
