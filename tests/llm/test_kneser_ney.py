@@ -112,7 +112,9 @@ def test_merging_in_any_order():
     assert len(kn.Merged(2).sums()[0]) == 0
 
 
-def test_keys_of_a_shard_in_blocks(tmp_path):
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_keys_of_a_shard_in_blocks(tmp_path, monkeypatch, many):
+    monkeypatch.setattr(kn, "_MANY", many)
     rng = np.random.default_rng(4)
     keys = np.unique(np.concatenate([rng.integers(0, 2**40, 60_000), rng.integers(0, 2**33, 20_000)]).astype(np.uint64))
     counts = rng.integers(1, 400, len(keys))

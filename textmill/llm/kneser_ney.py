@@ -46,6 +46,8 @@ END = np.uint64(0xE6D)
 BEGIN, UNKNOWN, FIRST = np.uint64(0), np.uint64(1), 2
 #: A task sends on what it has counted when it holds this many keys, and reads stored keys by so many.
 _GATHER, _BLOCK = 1_000_000, 200_000
+#: Keys asked for in a block from which on a block is searched by itself.
+_MANY = 50
 #: kind: which of several sums travel.
 SENT = "shard int, kind int, sums binary"
 
@@ -259,11 +261,19 @@ class Shard:
         offset = keys - self.bound
         block, wanted = (offset >> np.uint64(32)).astype(np.int64), (offset & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-        place = np.zeros(len(keys), np.int64)
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # the keys asked for are sorted, so those of a block are together
-            low, high = self.blocks[block[x]:block[x] + 2]
-            place[x:y] = low + np.searchsorted(self.keys[low:high], wanted[x:y])
-        inside = place < self.blocks[block + 1]
+        last = self.blocks[block + 1]
+        if len(keys) > _MANY * len(cuts):
+            place = np.zeros(len(keys), np.int64)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # the keys asked for are sorted, so those of a block are together
+                low, high = self.blocks[block[x]:block[x] + 2]
+                place[x:y] = low + np.searchsorted(self.keys[low:high], wanted[x:y])
+        else:  # few of each block: all keys halve their ranges together
+            place, high = self.blocks[block], last.copy()
+            for _ in range(int((high - place).max()).bit_length() if len(keys) else 0):
+                mid = (place + high) >> 1
+                less = (self.keys[np.minimum(mid, self.size - 1)] < wanted) & (place < high)
+                place, high = np.where(less, mid + 1, place), np.where(less, high, mid)
+        inside = place < last
         place = np.minimum(place, self.size - 1)
         return place, inside & (self.keys[place] == wanted)
 
@@ -555,7 +565,7 @@ class KneserNey:
         total, weight, earlier = self._context(known)
         u, w = spot[:len(u)], spot[len(u):]
         if self.order == 3:
-            seen = self._of_places(places)[2]
+            after, longer, seen = self._of_places(places)
         low = self.g_word / (self.n_words + 1)
         if self.n_pairs:
             low = low + (earlier[w] - self.d_word[np.minimum(earlier[w], 3)]) / self.n_pairs
@@ -566,7 +576,10 @@ class KneserNey:
             keys, context = self.triple_keys(number, before, places[back])
             distinct, spot = np.unique(keys, return_inverse=True)
             seen = np.where(context >= 0, self._counts("triples").find(distinct)[0][spot], 0)
-            total, weight, _ = self._of_places(context)
+            # The context of a token is the pair that ends before it; that of a text's first is none.
+            none = self._of_places(np.zeros(1, np.int64))
+            total, weight = (np.concatenate([y, x[back][:-1]]) for x, y in ((after, none[0]), (longer, none[1])))
+            total[before[:-1]], weight[before[:-1]] = none[0][0], none[1][0]
             p = (seen - self.d_triple[np.minimum(seen, 3)]) / np.maximum(total, 1) + weight * p
         return np.log10(p), base, count, before
 
