@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from textmill.functions.exprs import col, let
 from textmill.functions.text import char_ngrams
+from textmill.models import grams
 
 WORD, CHAR = "word", "char"
 
@@ -77,33 +79,40 @@ def word_terms(text: Column | str, ngram_range: tuple[int, int] = (1, 2)) -> Col
                 blocks.append(F.when(F.size(tokens) >= n, run).otherwise(none))
         return F.concat(*blocks)
 
-    plain = strip_accents(F.lower(col(text)))
-    return let(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]+"), 0), grams)
+    return let(_words(text), grams)
+
+
+def _words(text: Column | str) -> Column:
+    return F.regexp_extract_all(strip_accents(F.lower(col(text))), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
+def _plain(text: Column | str) -> Column:
+    return F.regexp_replace(strip_accents(F.lower(col(text))), r"\s\s+", " ")
 
 
 def char_terms(text: Column | str, ngram_range: tuple[int, int] = (2, 5)) -> Column:
     """Character n-grams across blanks, in lower case without accents, repeated as often as they occur."""
-    plain = F.regexp_replace(strip_accents(F.lower(col(text))), r"\s\s+", " ")
     lo, hi = ngram_range
-    return let(plain, lambda t: F.concat(*[char_ngrams(t, n) for n in range(lo, hi + 1)]))
+    return let(_plain(text), lambda t: F.concat(*[char_ngrams(t, n) for n in range(lo, hi + 1)]))
+
+
+def _block_text(name: str, text: Column | str) -> Column:
+    """The text whose words between blanks, or whose characters, are the parts of a block's terms."""
+    return F.coalesce(F.array_join(_words(text), " ") if name == WORD else _plain(text), F.lit(""))
+
 
+_KINDS = {WORD: grams.Words, CHAR: grams.Characters}
 
-def term_counts(df: DataFrame, terms: Column) -> DataFrame:
-    """(term, df, tf) over the corpus.
 
-    Each row contributes its terms once for ``tf`` and its distinct terms once
-    for ``df``; both are summed by term, so the row id is never shuffled.
+def term_counts(df: DataFrame, name: str, text: Column | str, ngram_range: tuple[int, int]) -> DataFrame:
+    """(term, df, tf) over the corpus: the terms of :func:`word_terms` or :func:`char_terms`.
+
+    Tasks count their rows slice by slice; their counts are summed by term, so neither
+    row ids nor single occurrences are shuffled.
     """
-    listed = df.select(terms.alias("terms"))
-    both = listed.select(F.posexplode(F.array("terms", F.array_distinct("terms"))))
-    return (
-        both.select(F.col("pos"), F.explode("col").alias("term"))
-        .groupBy("term")
-        .agg(
-            F.sum(F.col("pos").cast("long")).alias("df"),
-            F.sum((1 - F.col("pos")).cast("long")).alias("tf"),
-        )
-    )
+    texts = df.select(_block_text(name, text).alias("text"))
+    counts = texts.mapInArrow(grams.counting(_KINDS[name], tuple(ngram_range)), grams.COUNTS)
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def select_terms(
@@ -162,20 +171,19 @@ class TextFeatures(Estimator):
         self.char_max_features = char_max_features
         self.sublinear_tf = sublinear_tf
 
-    def block_terms(self) -> dict[str, tuple[Column, float, int]]:
-        """Block -> (terms, max_df, max_features).  Characters have no max_df."""
-        blocks = {WORD: (word_terms(self.text_col, self.ngram_range), self.max_df, self.max_features)}
+    def blocks(self) -> dict[str, tuple[tuple[int, int], float, int]]:
+        """Block -> (ngram_range, max_df, max_features).  Characters have no max_df."""
+        blocks = {WORD: (self.ngram_range, self.max_df, self.max_features)}
         if self.use_char_ngrams:
-            blocks[CHAR] = (
-                char_terms(self.text_col, self.char_ngram_range), 1.0, self.char_max_features,
-            )
+            blocks[CHAR] = (self.char_ngram_range, 1.0, self.char_max_features)
         return blocks
 
     def _fit(self, dataset: DataFrame) -> TextFeatureModel:
         n_docs = dataset.count()
         blocks = []
-        for name, (terms, max_df, limit) in self.block_terms().items():
-            chosen = select_terms(term_counts(dataset, terms), n_docs, self.min_df, max_df, limit)
+        for name, (ngram_range, max_df, limit) in self.blocks().items():
+            counts = term_counts(dataset, name, self.text_col, ngram_range)
+            chosen = select_terms(counts, n_docs, self.min_df, max_df, limit)
             # At most max_features rows reach the driver.
             rows = sorted((r["term"], r["df"]) for r in chosen.select("term", "df").collect())
             if not rows:
@@ -188,12 +196,16 @@ class TextFeatures(Estimator):
                     tuple(inverse_df(d, n_docs) for _, d in rows),
                 )
             )
-        labels = (
-            [r[0] for r in dataset.select(self.label_col).distinct().orderBy(self.label_col).collect()]
-            if self.label_col in dataset.columns
-            else []
-        )
-        return TextFeatureModel(self.settings(), tuple(blocks), tuple(labels))
+        return TextFeatureModel(self.settings(), tuple(blocks), self._labels(dataset))
+
+    def fit_labels(self, dataset: DataFrame) -> TextFeatureModel:
+        """The label dictionary alone: no text is read."""
+        return TextFeatureModel(self.settings(), (), self._labels(dataset))
+
+    def _labels(self, dataset: DataFrame) -> tuple[str, ...]:
+        if self.label_col not in dataset.columns:
+            return ()
+        return tuple(r[0] for r in dataset.select(self.label_col).distinct().orderBy(self.label_col).collect())
 
     def settings(self) -> dict:
         return {
@@ -256,27 +268,16 @@ class TextFeatureModel(Model):
     # -- transform ----------------------------------------------------------
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        text = self.settings["text_col"]
-        out = dataset.withColumn(
-            "_terms_word", word_terms(text, tuple(self.settings["ngram_range"]))
-        )
-        if len(self.blocks) > 1:
-            out = out.withColumn(
-                "_terms_char", char_terms(text, tuple(self.settings["char_ngram_range"]))
-            )
-        offset, parts = 0, []
-        for b in self.blocks:
-            counter = CountVectorizerModel.from_vocabulary(
-                list(b.terms), inputCol=f"_terms_{b.name}", outputCol=f"_counts_{b.name}"
-            )
-            out = counter.transform(out).withColumn(
-                f"_row_{b.name}", self._weigh(f"_counts_{b.name}", b, offset)
-            )
-            parts.append(f"_row_{b.name}")
-            offset += len(b.terms)
-        out = out.withColumn(
-            "indices", F.concat(*[F.col(f"{p}.indices") for p in parts])
-        ).withColumn("values", F.concat(*[F.col(f"{p}.values") for p in parts]))
+        text, ranges = self.settings["text_col"], {WORD: "ngram_range", CHAR: "char_ngram_range"}
+        known = [grams.Vocabulary(_KINDS[b.name], b.terms, tuple(self.settings[ranges[b.name]])) for b in self.blocks]
+        weigh = grams.weighing(known, [np.array(b.idfs) for b in self.blocks], self.settings["sublinear_tf"])
+
+        @F.arrow_udf("struct<indices: array<int>, values: array<double>>")
+        def row(*texts: pa.Array) -> pa.Array:
+            return weigh(*texts)
+
+        out = dataset.withColumn("_row", row(*[_block_text(b.name, text) for b in self.blocks]))
+        out = out.withColumn("indices", F.col("_row.indices")).withColumn("values", F.col("_row.values"))
         keep = [*dataset.columns, "indices", "values"]
         label = self.settings["label_col"]
         if self.labels and label in dataset.columns:
@@ -284,32 +285,6 @@ class TextFeatureModel(Model):
             keep.append("label_idx")
         return out.select(*keep)
 
-    def _weigh(self, counts: str, block: Block, offset: int) -> Column:
-        """Struct (indices, values): tf, idf and unit length within the block."""
-        idf = _constant(block.idfs, "array<double>")
-        sublinear = self.settings["sublinear_tf"]
-
-        def weights(row: Column) -> Column:
-            def weight(i: Column, tf: Column) -> Column:
-                return (1 + F.log(tf) if sublinear else tf) * F.element_at(idf, i + 1)
-
-            return F.zip_with(row["indices"], row["values"], weight)
-
-        def unit(row: Column) -> Column:
-            def scale(w: Column) -> Column:
-                norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x))
-                return let(
-                    norm,
-                    lambda n: F.struct(
-                        F.transform(row["indices"], lambda i: i + offset).alias("indices"),
-                        F.transform(w, lambda x: x / n).alias("values"),
-                    ),
-                )
-
-            return let(weights(row), scale)
-
-        return let(unpack_vector(counts), unit)
-
     # -- persistence --------------------------------------------------------
 
     def save(self, path: str) -> None:
@@ -368,11 +343,12 @@ def pack_vector(indices: Column | str, values: Column | str, size: int) -> Colum
     return F.from_json(F.to_json(F.struct(parts.alias("v"))), schema)["v"]
 
 
-def long_form(features: DataFrame, id_col: str) -> DataFrame:
-    """(id, term_idx, weight), one row per non-zero weight."""
+def long_form(features: DataFrame, id_col: str, *columns: str) -> DataFrame:
+    """(id, columns, term_idx, weight), one row per non-zero weight."""
+    kept = [F.col(c) for c in (id_col, *columns)]
     return features.select(
-        F.col(id_col), F.inline(F.arrays_zip("indices", "values"))
-    ).select(F.col(id_col), F.col("indices").alias("term_idx"), F.col("values").alias("weight"))
+        *kept, F.inline(F.arrays_zip("indices", "values"))
+    ).select(*kept, F.col("indices").alias("term_idx"), F.col("values").alias("weight"))
 
 
 def matrix_profile(features: DataFrame, model: TextFeatureModel) -> DataFrame:
