@@ -1,6 +1,7 @@
 """Near duplicates: all pairs of texts whose 3-gram sets have Jaccard >= t.
 
-Exact, without comparing all pairs.  Two sets x, y with Jaccard >= t differ in
+By default blocks of sets of similar size are compared (:mod:`textmill.operators.setblocks`).
+With a radius, signatures find the pairs, exact and without comparing all.  Two sets x, y with Jaccard >= t differ in
 at most h = (1-t)/(1+t) * (|x|+|y|) grams.  The grams are hashed into parts, so
 few that some parts hold at most ``radius`` of the differing grams.  Within a
 part every gram gets a random vector of radius + 1 bits, and each nonzero vector
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import jaccard, text_shingles
+from textmill.operators import setblocks
 from textmill.session import materialize
 
 _SLACK = 2  # parts beyond the first that two partners must agree on
@@ -210,22 +212,8 @@ def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, radius: int = _RADIUS
-) -> DataFrame:
-    """(left_id, right_id, similarity).
-
-    Every pair of distinct gram sets at or above the threshold is listed once,
-    between the first rows of the two sets.  Further rows of a set are linked to
-    its first row with similarity 1, so the result grows with the rows and the
-    near pairs, not with the square of the copies.
-
-    The gram sets are written to the shared folder when this is called: five
-    branches of the plan read them, and none of them cuts the texts again.
-    """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
-    sets = materialize(gram_sets(df, id_col, text_col), "grams")
+def _signed_pairs(sets: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """Pairs of different sets that meet in signatures, verified."""
     distinct = distinct_sets(sets)
     pairs = candidate_pairs(signatures(distinct, threshold, radius), threshold)
     outline = sketches(distinct)
@@ -237,7 +225,7 @@ def near_duplicates(
     )
     left = distinct.select(F.col("id").alias("left_id"), F.col("grams").alias("left_grams"))
     right = distinct.select(F.col("id").alias("right_id"), F.col("grams").alias("right_grams"))
-    verified = (
+    return (
         pairs.join(left, "left_id")
         .join(right, "right_id")
         .select(
@@ -247,6 +235,36 @@ def near_duplicates(
         )
         .filter(F.col("similarity") >= threshold)
     )
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, radius: int | None = None
+) -> DataFrame:
+    """(left_id, right_id, similarity).
+
+    Every pair of distinct gram sets at or above the threshold is listed once,
+    between the first rows of the two sets.  Further rows of a set are linked to
+    its first row with similarity 1, so the result grows with the rows and the
+    near pairs, not with the square of the copies.
+
+    Blocks of sets are compared (:mod:`textmill.operators.setblocks`), or, with a ``radius``,
+    sets that share signatures.  On texts of one language most pairs share some, and the
+    candidates then fill the disk.
+
+    The gram sets are written to the shared folder when this is called, so the texts are
+    cut once.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    cut = gram_sets(df, id_col, text_col)
+    if radius is None:
+        kind = cut.schema["id"].dataType.simpleString()
+        packed = cut.mapInArrow(setblocks.packing, f"id {kind}, set_key string, size int, packed binary")
+        sets = materialize(packed, "grams")
+        verified = setblocks.close_pairs(setblocks.first_sets(sets), threshold)
+    else:
+        sets = materialize(cut, "grams")
+        verified = _signed_pairs(sets, threshold, radius)
     keys = sets.select("set_key", F.col("id").alias("right_id"))
     firsts = (
         keys.groupBy("set_key")
