@@ -95,3 +95,20 @@ def test_what_travels_does_not_grow_with_the_partitions(spark, features):
 def test_no_rows(spark, features):
     loss, grad = solver._evaluate(features.filter("fold > 5"), problems(), np.zeros((61, 5)), 3)
     assert not loss.any() and not grad.any()
+
+
+def test_a_fit_reads_the_cells_of_its_rows_once(spark, features, monkeypatch):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    steps, real = [], solver._evaluate
+    monkeypatch.setattr(solver, "_evaluate", lambda *a: steps.append(1) or real(*a))
+    counted = features.mapInArrow(seen, features.schema)
+    fitted = solver.solve(counted, problems(), 60, 3, 1e-6)
+    assert len(steps) > 3 and reads.value == 900
+    for one, two in zip(fitted, solver.solve(features, problems(), 60, 3, 1e-6)):
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(one, two))
