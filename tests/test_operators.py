@@ -208,6 +208,19 @@ def test_augmented_copies_do_not_depend_on_partitions(spark):
     assert 30 < a.count() <= 90 and copies.filter(F.col("text") == WORDS).count() == 0
 
 
+def test_copies_are_made_by_the_operations(spark):
+    texts = [WORDS, "a b", " a\tb  c d\x0be ", "", None, "x", "\u00e9\u00a0f g h i", "one two three\n four five six seven"]
+    df = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts * 3)], "id long, t string")
+    one = {"shuffle": lambda s: aug.shuffle_tokens("t", s, 0.2), "delete": lambda s: aug.delete_tokens("t", s, 0.05),
+           "duplicate": lambda s: aug.duplicate_tokens("t", s, 0.05), "swap": lambda s: aug.swap_tokens("t", s, 2)}
+    for name, make in one.items():
+        made = df.select(aug.augmented_text("t", "id", F.lit(1), [name]).alias("a"), make([42, F.col("id"), F.lit(1), 0]).alias("b"))
+        assert all(r["a"] == r["b"] for r in made.collect())
+    # Several steps on one text are not one nest of array expressions.
+    plan = aug.augment(df, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan
+
+
 def test_distribution_table(spark):
     rows = [(i, "t", f"l{i % 7}") for i in range(70)] + [(99, "t", "l0")]
     t = stats.distribution_table(corpus(spark, rows), "label", max_items=3).collect()
