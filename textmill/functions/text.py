@@ -6,7 +6,8 @@ whitespace characters one by one, because ``\\s`` differs between engines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,16 +33,30 @@ def collapse_spaces(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
 
 
+def _where(text: Column, signs: Sequence[str], change: Callable[[Column], Column]) -> Column:
+    """``change`` of the texts that hold one of the signs; the others pass after a plain search."""
+    def body(t: Column) -> Column:
+        found = reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in signs])
+        return F.when(found, change(t)).otherwise(t)
+
+    return let(text, body)
+
+
+def _decoded(text: Column) -> Column:
+    for entity, char in HTML_ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def clean_html(c: Column | str) -> Column:
     """Tags become blanks, then six entities are decoded one after another."""
-    out = F.regexp_replace(col(c), "<[^>]+>", " ")
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    untagged = _where(col(c), ["<"], lambda t: F.regexp_replace(t, "<[^>]+>", " "))
+    return _where(untagged, ["&"], _decoded)
 
 
 def remove_urls(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"https?://{NON_SPACE}+|www\.{NON_SPACE}+", " ")
+    return _where(col(c), ["://", "www."],
+                  lambda t: F.regexp_replace(t, rf"https?://{NON_SPACE}+|www\.{NON_SPACE}+", " "))
 
 
 def remove_emails(c: Column | str) -> Column:
@@ -54,10 +69,7 @@ def remove_emails(c: Column | str) -> Column:
     pattern = (
         rf"(?<!{NON_SPACE}){NON_SPACE}[^@{_SPACE}]*+@{NON_SPACE}+\.{NON_SPACE}+"
     )
-    text = col(c)
-    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, pattern, " ")).otherwise(
-        text
-    )
+    return _where(col(c), ["@"], lambda t: F.regexp_replace(t, pattern, " "))
 
 
 def letters_only(c: Column | str) -> Column:
