@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import math
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -273,8 +273,11 @@ class TextFeatureModel(Model):
         weigh = grams.weighing(known, [np.array(b.idfs) for b in self.blocks], self.settings["sublinear_tf"])
 
         @F.arrow_udf("struct<indices: array<int>, values: array<double>>")
-        def row(*texts: pa.Array) -> pa.Array:
-            return weigh(*texts)
+        def row(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            # The slices of a batch leave one by one: weights take several times the room of their texts.
+            for texts in batches:
+                for part in grams.pieces(*([texts] if isinstance(texts, pa.Array) else texts)):
+                    yield weigh(*part)
 
         out = dataset.withColumn("_row", row(*[_block_text(b.name, text) for b in self.blocks]))
         out = out.withColumn("indices", F.col("_row.indices")).withColumn("values", F.col("_row.values"))

@@ -14,18 +14,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _BYTES = 1 << 21  # of the texts that are counted at a time, if it is more than one
+_WEIGHED = 1 << 19  # of the texts that are weighed at a time
 _ROWS = 1 << 16
 _SPAN = 1 << 62  # of keys with their rows
 
 COUNTS = "term string, df long, tf long"
 
 
-def _slices(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+def _slices(*columns: pa.Array, limit: int = _BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of bounded size."""
     total = np.concatenate([[0], np.cumsum(sum(pc.binary_length(c).to_numpy(zero_copy_only=False) for c in columns), dtype=np.int64)])
     a, n = 0, len(columns[0])
     while a < n:
-        b = max(a + 1, int(np.searchsorted(total, total[a] + _BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
         b = min(b, a + _ROWS, n)
         yield a, b
         a = b
@@ -169,6 +170,12 @@ def counting(kind: type, ngram_range: tuple[int, int]):
     return run
 
 
+def pieces(*columns: pa.Array) -> Iterator[list[pa.Array]]:
+    """The columns cut into slices that are weighed one by one."""
+    for a, b in _slices(*columns, limit=_WEIGHED):
+        yield [c.slice(a, b - a) for c in columns]
+
+
 class Vocabulary:
     """Terms of a block by their n, as parts, with the index of each."""
 
@@ -224,7 +231,7 @@ def weighing(vocabularies: Sequence[Vocabulary], idfs: Sequence[np.ndarray], sub
 
     def run(*columns: pa.Array) -> pa.Array:
         texts = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        done = [slice_rows([t.slice(a, b - a) for t in texts]) for a, b in _slices(*texts)]
+        done = [slice_rows(part) for part in pieces(*texts)]
         sizes, index, value = (np.concatenate([np.zeros(0, kind), *[d[k] for d in done]]) for k, kind in enumerate((np.int64, np.int32, np.float64)))
         at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(at, pa.array(index, pa.int32())), pa.ListArray.from_arrays(at, pa.array(value, pa.float64()))]
