@@ -55,6 +55,7 @@ class Banding:
         raise ValueError("too few bins for this recall")
 
 
+@cache
 def _edges(bins: int) -> np.ndarray:
     return np.array([k * 2**64 // bins for k in range(1, bins)], np.uint64)
 
@@ -65,17 +66,25 @@ def _order(bins: int) -> np.ndarray:
     return np.argsort(mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(1)).reshape(bins, bins), axis=1)
 
 
-def shingles(h: np.ndarray, before: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its runs of ``width`` words;
-    a shorter text is one run, an empty one none."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def shingles(h: np.ndarray, before: np.ndarray, width: int, which: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text, or those at ``which``, the sorted distinct hashes of its runs of ``width``
+    words; a shorter text is one run, an empty one none."""
     n = np.diff(before)
     run = np.zeros(max(len(h) - width + 1, 0), np.uint64)
     for k in range(width):
         run = mix(run * np.uint64(5) ^ h[k:k + len(run)])
     out = []
-    for a, size in zip(before[:-1], n):
+    which = slice(None) if which is None else which
+    for a, size in zip(before[:-1][which].tolist(), n[which].tolist()):
         if size >= width:
-            out.append(np.unique(run[a:a + size - width + 1]))
+            out.append(_distinct(run[a:a + size - width + 1]))
         elif size:
             whole = np.zeros(1, np.uint64)
             for x in h[a:a + size]:

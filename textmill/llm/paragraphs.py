@@ -10,7 +10,8 @@ Passages that lines do not bound are found by their runs of words, whatever line
 these are on: every run of ``length`` words that several documents hold is found,
 and runs that overlap are one passage.  To meet, runs need not be counted all: a run
 is named by the smallest hash of its shorter runs, and only those whose name several
-documents hold go on (winnowing, without loss).
+documents hold go on (winnowing, without loss).  A bitmap of these names, which all tasks
+get, keeps most others out of the shuffle.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ def _occurrences(width: int, banding: Banding, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             row, place, n, _, h, before, keep = _split(b.column(1), min_words)
-            every = shingles(h, before, width)
+            sets = shingles(h, before, width, keep)
             yield pa.record_batch(
-                [b.column(0).take(pa.array(row)), pa.array(place), pa.array(n), *signed_columns([every[k] for k in keep], banding)],
+                [b.column(0).take(pa.array(row)), pa.array(place), pa.array(n), *signed_columns(sets, banding)],
                 ["doc_id", "para", "n_words", "n", "digest", "bands", "sketch"])
 
     return run
@@ -94,9 +95,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     banding = banding or Banding.tuned(threshold, RECALL, 48, 512)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     found = texts.mapInArrow(_occurrences(width, banding, min_words), f"doc_id long, para long, n_words long, {SIGNED}")
-    classes = stored(found.groupBy("digest").agg(
+    classes = found.groupBy("digest").agg(
         F.min(F.struct("doc_id", "para")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch")), "classes")
+        F.first("sketch").alias("sketch"))
     # The table is stored, so the numbers that it gets stay the same; they name its rows in what follows.
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = crowded_buckets(nodes)
@@ -126,10 +127,10 @@ def _digests(width: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             row, place, n, _, h, before, keep = _split(b.column(1), min_words)
-            every = shingles(h, before, width)
+            sets = shingles(h, before, width, keep)
             yield pa.record_batch(
                 [b.column(0).take(pa.array(row)), pa.array(place), pa.array(n),
-                 pa.array([xxhash.xxh3_128_digest(every[k].tobytes()) for k in keep], pa.binary())],
+                 pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())],
                 ["doc_id", "para", "n_words", "digest"])
 
     return run
@@ -195,48 +196,81 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _windows(texts: pa.Array, length: int) -> tuple:
-    """Row, place, line, hash and anchor of every run of ``length`` words of one text.
+def _lowest(x: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of every ``n`` numbers in a row, in log n steps."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = np.minimum(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def _windows(h: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Row, first word and anchor of every run of ``length`` words of one text, and which
+    run begins a piece: runs in a row with one anchor.
 
     The anchor is the smallest hash of the run's shorter runs; equal runs have equal
     anchors, and neighbouring runs mostly share theirs.
     """
-    h, before = word_hashes(texts)
-    whole = _runs(h, length)
-    row = np.repeat(np.arange(len(texts)), np.diff(before))[:len(whole)]
-    at = np.arange(len(whole))
-    keep = np.flatnonzero(at + length <= before[row + 1])
-    if not len(keep):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    if len(h) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = length // 2 + 1
-    anchor = np.lib.stride_tricks.sliding_window_view(_runs(h, short), length - short + 1).min(axis=1)
-    raw, begins = text_bytes(texts)
-    start = word_spans(raw, begins)[0]
-    ended = np.concatenate([[0], np.cumsum(raw == 10)])
-    row = row[keep]
-    return row, keep - before[row], ended[start[keep]] - ended[begins[row]], whole[keep], anchor[keep]
+    anchor = _lowest(_runs(h, short), length - short + 1)
+    row = np.repeat(np.arange(len(before) - 1), np.diff(before))[:len(anchor)]
+    at = np.flatnonzero(np.arange(length, length + len(anchor)) <= before[row + 1])
+    row, anchor = row[at], anchor[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+    return row, at, anchor, np.flatnonzero(new)
 
 
 def _anchors(length: int):
     """Arrow task: (doc_id, text) to the different anchors of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            row, *_, anchor = _windows(b.column(1), length)
-            new = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]).astype(bool) | (np.diff(row, prepend=-1) != 0))
+            row, _, anchor, new = _windows(*word_hashes(b.column(1)), length)
             yield pa.record_batch([pa.array(signed(anchor[new])), b.column(0).take(pa.array(row[new]))], ["anchor", "doc_id"])
 
     return run
 
 
-def _anchored(length: int):
-    """Arrow task: (doc_id, text) to its runs, those in a row with one anchor together."""
+def _sieve(anchors: DataFrame, most_bits: int = 27) -> tuple[np.ndarray, bool]:
+    """The last bits of the anchors as a bitmap, and whether it has 32 or more bits for each: it takes 16 MB at most.
+    It never misses an anchor, and with that many bits lets one in 32 of the others pass at most."""
+    wanted = max(6, (32 * anchors.count()).bit_length())
+    bits = min(most_bits, wanted)
+    spot = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
+    found = anchors.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out, bits == wanted
+
+
+def _passes(anchor: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    spot = anchor & np.uint64(64 * len(sieve) - 1)
+    return (sieve[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _anchored(length: int, shared):
+    """Arrow task: (doc_id, text) to its runs, those in a row with one anchor together, if the sieve lets it pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            row, place, line, whole, anchor = _windows(b.column(1), length)
-            new = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]).astype(bool) | (np.diff(row, prepend=-1) != 0))
-            cuts = pa.array(np.append(new, len(row)), pa.int32())
+            texts = b.column(1)
+            h, before = word_hashes(texts)
+            row, at, anchor, new = _windows(h, before, length)
+            go, size = _passes(anchor[new], shared.value), np.diff(new, append=len(at))
+            if not go.any():
+                continue
+            some = np.repeat(go, size)
+            raw, begins = text_bytes(texts)
+            start, breaks = word_spans(raw, begins)[0], np.flatnonzero(raw == 10)
+            line = np.searchsorted(breaks, start[at[some]]) - np.searchsorted(breaks, begins[row[some]])
+            whole, first = _runs(h, length)[at[some]], new[go]
+            cuts = pa.array(np.concatenate([[0], np.cumsum(size[go])]), pa.int32())
             yield pa.record_batch(
-                [pa.array(signed(anchor[new])), b.column(0).take(pa.array(row[new])), pa.array(place[new]),
+                [pa.array(signed(anchor[first])), b.column(0).take(pa.array(row[first])), pa.array(at[first] - before[row[first]]),
                  pa.ListArray.from_arrays(cuts, pa.array(signed(whole))), pa.ListArray.from_arrays(cuts, pa.array(line))],
                 ["anchor", "doc_id", "start", "hash", "para"])
 
@@ -256,27 +290,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     crowded = stored(texts.mapInArrow(_anchors(length), "anchor long, doc_id long").groupBy("anchor").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "anchors")
+    sieve, fine = _sieve(crowded)
     packed = texts.mapInArrow(
-        _anchored(length), "anchor long, doc_id long, start long, hash array<long>, para array<long>").join(
-        crowded, "anchor", "left_semi")
-    runs = stored(packed.select("doc_id", "start", F.posexplode(F.arrays_zip("hash", "para"))).select(
-        "doc_id", (F.col("start") + F.col("pos")).alias("start"), "col.hash", "col.para"), "runs")
+        _anchored(length, docs.sparkSession.sparkContext.broadcast(sieve)), "anchor long, doc_id long, start long, hash array<long>, para array<long>")
+    if not fine:  # many would pass
+        packed = packed.join(crowded, "anchor", "left_semi")
+    # Runs that the sieve let pass alone have no keeper below.
+    packed = stored(packed.drop("anchor"), "runs")
+    runs = packed.select("doc_id", "start", F.posexplode(F.arrays_zip("hash", "para"))).select(
+        "doc_id", (F.col("start") + F.col("pos")).alias("start"), "col.hash", "col.para")
     keepers = stored(runs.groupBy("hash").agg(
         F.min(F.struct("doc_id", "start", "para")).alias("keeper"), F.max("doc_id").alias("high")).filter(
-        "keeper.doc_id < high").select("hash", "keeper"), "keepers")
-    met = runs.join(keepers, "hash").select(
-        "doc_id", "start", "para", "keeper", F.col("keeper.doc_id").alias("keeper_doc_id"),
-        ((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("start") != F.col("keeper.start"))).alias("removed"))
+        "keeper.doc_id < high").select("hash", *[F.col(f"keeper.{c}").alias(f"keeper_{c}") for c in ("doc_id", "start", "para")]), "keepers")
+    met = runs.join(keepers, "hash").drop("hash").withColumn(
+        "removed", (F.col("doc_id") != F.col("keeper_doc_id")) | (F.col("start") != F.col("keeper_start")))
     one = ["doc_id", "keeper_doc_id", "removed"]
     order = Window.partitionBy(*one).orderBy("start")
     new = F.coalesce(F.col("start") > F.lag("start").over(order) + length, F.lit(True)).cast("long")
     passages = met.withColumn("new", new).withColumn("passage", F.sum("new").over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return passages.groupBy(*one, "passage").agg(
-        F.min(F.struct("start", "para", "keeper")).alias("first"), F.max("start").alias("last")).select(
+        F.min(F.struct("start", "para", "keeper_start", "keeper_para")).alias("first"), F.max("start").alias("last")).select(
         "doc_id", F.col("first.para").alias("para"), (F.col("last") + length - F.col("first.start")).alias("n_words"),
-        "keeper_doc_id", F.col("first.keeper.para").alias("keeper_para"), "removed", F.col("first.start").alias("start"),
-        F.col("first.keeper.start").alias("keeper_start"))
+        "keeper_doc_id", F.col("first.keeper_para").alias("keeper_para"), "removed", F.col("first.start").alias("start"),
+        F.col("first.keeper_start").alias("keeper_start"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
