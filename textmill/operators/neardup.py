@@ -256,14 +256,14 @@ def near_duplicates(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    cut = gram_sets(df, id_col, text_col)
     if radius is None:
-        kind = cut.schema["id"].dataType.simpleString()
-        packed = cut.mapInArrow(setblocks.packing, f"id {kind}, set_key string, size int, packed binary")
+        texts = df.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+        kind = texts.schema["id"].dataType.simpleString()
+        packed = texts.mapInArrow(setblocks.cutting, f"id {kind}, set_key string, size int, packed binary")
         sets = materialize(packed, "grams")
         verified = setblocks.close_pairs(setblocks.first_sets(sets), threshold)
     else:
-        sets = materialize(cut, "grams")
+        sets = materialize(gram_sets(df, id_col, text_col), "grams")
         verified = _signed_pairs(sets, threshold, radius)
     keys = sets.select("set_key", F.col("id").alias("right_id"))
     firsts = (
